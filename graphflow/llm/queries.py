@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphflow.llm import lines, mixing, packing, quality, simhash
+from graphflow.llm import html, knn, lines, maxent, mixing, packing, quality, secrets, simhash, suffix
 from graphflow.llm.common import table
 
 
@@ -20,11 +20,31 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"), maxent.remainder() == 2)
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "n_runs", "text")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit_chains(secrets.labelled_samples(docs)))
+    base = F.filter("found", lambda x: x["k"] < 3)
+    counts = [secrets.count_of(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex", "markov")]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("found")).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,8 +58,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op5_lines": op5_lines, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_mixing": op9_mixing}
+    return {f.__name__: f for f in (op1_quality, op2_html, op3_maxent, op4_suffix, op5_lines, op6_secrets, op7_simhash, op8_packing, op9_mixing, op10_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
