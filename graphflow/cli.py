@@ -188,7 +188,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(message)s")
+    logging.basicConfig(format="%(message)s")
+    logging.getLogger("graphflow").setLevel(logging.INFO)
     a.run(spark or session(), a)
     return 0
 
