@@ -67,5 +67,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality, op2_html, op3_maxent, op4_suffix, op5_lines, op6_secrets, op7_simhash, op8_packing, op9_mixing, op10_knn)}
 
 
+#: Line dedup with whole passages as strings; lines are numbered from 1 here.
+LINES_SQL = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+  lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r FROM docs),
+  words AS (SELECT *, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM lines),
+  filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY r) AS i, sum(n) OVER (PARTITION BY doc_id, text ORDER BY r) - n AS c FROM words WHERE n > 0),
+  sized AS (SELECT *, count(*) OVER a AS m, sum(n) OVER a AS w FROM filled WINDOW a AS (PARTITION BY doc_id, text ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  passages AS (SELECT p.doc_id, p.text, p.i, p.m, string_agg(q.x, chr(10) ORDER BY q.i) AS run FROM sized p JOIN filled q ON p.doc_id IS NOT DISTINCT FROM q.doc_id AND p.text = q.text AND q.i BETWEEN p.i AND p.i + p.m - 1
+    WHERE p.w >= 50 GROUP BY p.doc_id, p.text, p.i, p.m),
+  later AS (SELECT * FROM passages QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, i) > 1),
+  gone AS (SELECT DISTINCT l.doc_id, l.text, f.i, f.r FROM later l JOIN filled f ON l.doc_id IS NOT DISTINCT FROM f.doc_id AND l.text = f.text AND f.i BETWEEN l.i AND l.i + l.m - 1),
+  runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, text ORDER BY i) AS g FROM gone),
+  lost AS (SELECT doc_id, text, count(*) AS n_deleted, count(DISTINCT g) AS n_runs FROM runs GROUP BY ALL),
+  kept AS (SELECT w.doc_id, w.text, string_agg(w.x, chr(10) ORDER BY w.r) AS left_over FROM words w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id IS NOT DISTINCT FROM w.doc_id AND g.text = w.text AND g.r = w.r) GROUP BY ALL),
+  sizes AS (SELECT doc_id, text, count(*) AS n_lines FROM filled GROUP BY ALL)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(n_runs, 0) AS n_runs, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_over, '') END AS text
+FROM documents d LEFT JOIN sizes s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text LEFT JOIN lost l ON l.doc_id IS NOT DISTINCT FROM d.doc_id AND l.text = d.text
+  LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.text = d.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lines": LINES_SQL}
