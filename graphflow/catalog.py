@@ -490,7 +490,7 @@ def lab_bytes(spark, sf_dir):
     return out.select("node", *(F.col(c).cast("int").alias(n) for c, n in zip(BANDS, ("l", "a", "b"), strict=True)))
 
 
-@_query("SELECT p_partkey AS node, round(p_size * 5.0, 1) AS r, round((p_partkey % 256) * 1.0, 1) AS g, round((p_retailprice - 900) * 2, 1) AS b FROM part")
+@_query("SELECT p_partkey AS node, CAST(p_size * 5 AS DOUBLE) AS r, CAST(p_partkey % 256 AS DOUBLE) AS g, round((p_retailprice - 900) * 2, 1) AS b FROM part")
 def lab_round_trip(spark, sf_dir):
     """Colours there and back again."""
     back = colour.lab_to_rgb(colour.rgb_to_lab(_coloured(spark, sf_dir), eight_bit=False))
