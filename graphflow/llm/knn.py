@@ -71,6 +71,14 @@ def bounded_products(a, b) -> tuple[np.ndarray, np.ndarray]:
     return near, error * (1 + 1e-9) + 1e-12 * np.abs(near)
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each row of a with the same row of b, summed from the first component to the last, so that equal vectors get equal scores everywhere."""
+    out = a[:, 0] * b[:, 0]
+    for k in range(1, a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
 class Best:
     """The k best candidates of each query of a block: larger score first, ties to the smaller id."""
 
@@ -90,7 +98,7 @@ class Best:
         row, col = np.nonzero((near + error >= floor[:, None]) & ~own)
         for at in range(0, len(row), 200_000):
             r, c = row[at : at + 200_000], col[at : at + 200_000]
-            scores = (self.vectors[r] * vectors[c]).sum(1)
+            scores = inner_products(self.vectors[r], vectors[c])
             for i, s, j in zip(r.tolist(), scores.tolist(), ids[c].tolist(), strict=True):
                 have = self.lists[i]
                 if len(have) < self.k:
