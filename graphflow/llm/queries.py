@@ -88,6 +88,20 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND
 """
 
 
+#: Suffix dedup with every window of 200 bytes as hexadecimal text.
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+  w AS (SELECT k, hx, unnest(range(0, len(hx) // 2 - 199)) AS i FROM d WHERE len(hx) >= 400),
+  rep AS (SELECT k, i FROM (SELECT k, i, md5(substr(hx, 2 * i + 1, 400)) AS s FROM w) QUALIFY count(*) OVER (PARTITION BY s) > 1),
+  marked AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM rep),
+  spans AS (SELECT k, min(i) AS b, max(i) + 200 AS e FROM (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS g FROM marked) GROUP BY k, g),
+  gaps AS (SELECT k, coalesce(lag(e) OVER (PARTITION BY k ORDER BY b), 0) AS f, b AS t FROM spans UNION ALL SELECT k, max(e), 1000000000 FROM spans GROUP BY k),
+  kept AS (SELECT k, string_agg(substr(hx, CAST(2 * f + 1 AS BIGINT), CAST(2 * (t - f) AS BIGINT)), '' ORDER BY f) AS hx FROM gaps JOIN d USING (k) GROUP BY k),
+  sums AS (SELECT k, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
+SELECT doc_id, len(d.hx) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.hx, d.hx))) AS kept_sha256
+FROM d LEFT JOIN sums USING (k) LEFT JOIN kept ON kept.k = d.k
+"""
+
 #: Nearest neighbours by comparing every query with every row.
 KNN_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
@@ -99,4 +113,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": LINES_SQL, "op10_knn": KNN_SQL}
+    return {"op4_suffix": SUFFIX_SQL, "op5_lines": LINES_SQL, "op10_knn": KNN_SQL}
