@@ -65,4 +65,4 @@ def event_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     steps = events.select("event_type", after.alias("next")).where("next is not null").groupBy("event_type", "next").agg(F.count("*").cast("double").alias("val"))
     a, b = names.select("event_type", F.col("i").alias("col")), names.select(F.col("event_type").alias("next"), F.col("i").alias("row"))
-    return steps.join(F.broadcast(a), "event_type").join(F.broadcast(b), "next").select("col", "row", "val")
+    return steps.join(a, "event_type").join(b, "next").select("col", "row", "val")
