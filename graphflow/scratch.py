@@ -38,7 +38,6 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/graphflow/{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         self._n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -47,7 +46,6 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._scratch_path = path
         return back
 
