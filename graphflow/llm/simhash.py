@@ -170,7 +170,8 @@ def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     named = docs.where("doc_id is not null")
     found = near_duplicates(named.select("doc_id", "text"), shingle)
     heads = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    kept = named.join(heads.select("doc_id"), "doc_id", "left_semi")
+    # one way at every size: a small right side would otherwise be broadcast until it is too large for it
+    kept = named.join(heads.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not heads.where("rows > 1").isEmpty():
         once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *docs.columns)
         kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
