@@ -19,8 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources that a mix may have; their counts and periods are held by the driver.
-MOST_SOURCES = 10_000
+#: Sources that a mix may have, which bounds the schedule: a row for each source and phase, and a period of slots for each phase.
+MOST_SOURCES = 300
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -122,10 +122,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 8
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
     rows = _table(docs, plan, "source:string,lo:long,hi:long,a:long,start:long,span:long,slots:array<long>")
     # at most one row for each source and phase
-    rows = F.broadcast(rows.withColumnRenamed("source", "__s"))
+    rows = F.broadcast(rows.select(F.col("source").alias("__s"), *(F.col(c).alias(f"__{c}") for c in ("lo", "hi", "a", "start", "span", "slots"))))
     digits = max(1, min(6, math.ceil(math.log(max(1, sum(counts.values()) / 20_000), 16))))
     at = ranked(plain, digits).withColumn("block", F.floor(F.col("__rank") / block))
-    at = at.join(rows, (at["__s"] == rows["__s"]) & (at["block"] >= rows["lo"]) & (at["block"] < rows["hi"]))
-    j = F.col("block") - F.col("lo")
-    slot = F.col("start") + F.floor(j / F.col("a")) * F.col("span") + F.element_at("slots", (j % F.col("a") + 1).cast("int"))
+    at = at.join(rows, (at["__s"] == rows["__s"]) & (at["block"] >= rows["__lo"]) & (at["block"] < rows["__hi"]))
+    j = F.col("block") - F.col("__lo")
+    slot = F.col("__start") + F.floor(j / F.col("__a")) * F.col("__span") + F.element_at("__slots", (j % F.col("__a") + 1).cast("int"))
     return at.select(*(at[c] for c in plain.columns), F.col("block").cast("long").alias("block"), slot.cast("long").alias("slot"), (F.col("__rank") % block).cast("int").alias("in_block"))

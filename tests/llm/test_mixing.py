@@ -76,5 +76,5 @@ def test_weights_must_cover_sources(make):
 def test_empty_and_clashing_columns(make):
     df = make([], "doc_id long, source string, slot string")
     assert mixing.mix(df).count() == 0
-    df = make([(1, "a", "x"), (1, "a", "x")], "doc_id long, source string, block string")
-    assert mixing.mix(df).columns == ["doc_id", "source", "block", "slot", "in_block"] and mixing.mix(df).count() == 2
+    df = make([(1, "a", "x", 1, 2), (1, "a", "x", 1, 2)], "doc_id long, source string, block string, lo int, start int")
+    assert mixing.mix(df).columns == ["doc_id", "source", "lo", "start", "block", "slot", "in_block"] and mixing.mix(df).count() == 2
