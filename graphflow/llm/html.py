@@ -43,7 +43,8 @@ ASIDE_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations widget toolbar pagination pager copyright skip contentinfo complementary search".split()
 )
-TOP_WORDS = frozenset({"header", "banner"})
+#: Whole names that mark the head of a site, but not that of an article.
+TOP_NAMES = frozenset({"header", "banner", "site-header", "page-header", "main-header", "top-header", "global-header", "site-banner"})
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -87,7 +88,7 @@ class Page:
             self.depth.append(self.depth[above] + 1)
             self.label.append(label)
         within = article or tag in ("article", "main")
-        off = tag in ASIDE or bool(words & ASIDE_WORDS) and tag not in ("html", "body", "article", "main") or not within and (tag == "header" or bool(words & TOP_WORDS) and tag not in ("html", "body"))
+        off = tag in ASIDE or bool(words & ASIDE_WORDS) and tag not in ("html", "body", "article", "main") or not within and (tag == "header" or bool(TOP_NAMES & set(names.split())) and tag not in ("html", "body"))
         self._open.append((tag, path, aside or off, mute or tag in MUTE or bool(attributes) and _HIDDEN.search(attributes) is not None, within))
 
     def _close(self, wanted, stop) -> None:

@@ -36,6 +36,13 @@ def test_boilerplate_goes():
     assert html.main_text(bare).split("\n") == want
 
 
+def test_heads_of_sites_and_of_articles():
+    page = f'<div class="site-header"><p>{LONG} site</p></div><div class="post"><div class="post-header"><h1>Title</h1></div><p>{LONG}</p></div><div id="header">x</div>'
+    assert html.main_text(page).split("\n") == ["Title", LONG.strip()]
+    page = f"<article><header><h1>Title</h1></header><p>{LONG}</p><footer>bio</footer></article><div role=banner>{LONG}</div>"
+    assert html.main_text(page).split("\n") == ["Title", LONG.strip()]
+
+
 def test_broken_markup():
     assert html.main_text(None) == "" == html.main_text("") == html.main_text("<p>") == html.main_text("<nav>only</nav>")
     assert html.main_text("no markup at all") == "no markup at all"
