@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphflow.llm.common import hashed_sample
+
 #: The patterns, in the order of their kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -66,11 +68,11 @@ def fit_chains(samples: DataFrame, pseudo: float = 0.5) -> list[float]:
 
 def labelled_samples(docs: DataFrame, documents: int = 2000, strings: int = 6000) -> DataFrame:
     """Samples for ``fit_chains``: random hexadecimal, base64 and upper-case strings made by hashing numbers, and ordinary identifiers made from the words of
-    ``documents`` documents (those whose hashed id is smallest): words, words with a number, and words joined by a hyphen or an underscore."""
+    ``documents`` documents (those whose hashed id and text are smallest): words, words with a number, and words joined by a hyphen or an underscore."""
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     code = F.translate(F.base64(F.unhex(digest)), "\r\n", "")
     made = docs.sparkSession.range(strings).select(F.explode(F.array(F.substring(digest, 1, 40), code, F.regexp_replace(F.upper(code), "[^A-Z0-9]", ""))).alias("sample"))
-    few = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    few = hashed_sample(docs.select("doc_id", "text").where("text is not null"), documents, "doc_id", "text")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 3)
     word = few.select(F.posexplode(words).alias("i", "w")).select("i", F.regexp_replace("w", "[^A-Za-z]", "").alias("w")).where("length(w) > 3")
     number = F.pmod(F.hash("w"), F.lit(100)).cast("string")
