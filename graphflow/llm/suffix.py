@@ -209,16 +209,17 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     """d, th, s, n: runs of n windows from byte s whose strings occur elsewhere too."""
     small_batches(docs.sparkSession)
     parsed = scratch.keep(parse(docs, length, gram))
-    shared = parsed.groupBy("kg").agg(F.count("*").alias("_")).where("_ > 1").select("kg")
+    # counts are written before they are joined: then the join's two sides are plain exchanges, and a hot trigger's side is split
+    shared = scratch.keep(parsed.groupBy("kg").agg(F.count("*").alias("_")).where("_ > 1").select("kg"))
     live = scratch.keep(parsed.join(shared, "kg"))
-    scratch.drop(parsed)
+    scratch.drop(parsed, shared)
     scratch.tidy()
     entries = scratch.keep(live.groupBy("kg", "eh").agg(F.count("*").alias("c"), F.min(F.struct("d", "th", "s", "n")).alias("at")))
-    copies = live.join(entries.where("c > 1").select("kg", "eh"), ["kg", "eh"]).select("d", "th", "s", "n")
-    several = entries.groupBy("kg").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    copies = scratch.keep(live.join(entries.where("c > 1").select("kg", "eh"), ["kg", "eh"]).select("d", "th", "s", "n"))
+    scratch.drop(live)
+    several = scratch.keep(entries.groupBy("kg").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     open_ = scratch.keep(entries.join(several, "kg").select("kg", "at.*", "c", "kinds"))
-    copies = scratch.keep(copies)
-    scratch.drop(live, entries)
+    scratch.drop(entries, several)
     scratch.tidy()
     texts = scratch.keep(_open_texts(docs, open_, length, hot))
     scratch.drop(open_)
