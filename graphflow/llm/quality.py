@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphflow.llm.common import WHITE, small_batches, texts_of
+from graphflow.llm.common import WHITE, hashed_sample, small_batches, texts_of
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Trees:
     """
     small_batches(docs.sparkSession)
     few = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    few = hashed_sample(few, sample_rows, "doc_id")
 
     def rows(batches):
         for b in batches:
