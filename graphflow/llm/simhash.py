@@ -10,6 +10,10 @@ find every pair.
 Equal fingerprints are merged before keys are made, pairs are formed only under keys with few fingerprints, and each is verified.
 Fingerprints under fuller keys are linked exactly and without pairs: each stands under itself and its 64 one-bit neighbours, and two
 fingerprints share one of those words if and only if at most two bits differ, so a star per word carries all links.
+
+On request (``similar``) texts also link when the sets of their five-word shingles have at least that Jaccard similarity, whatever their fingerprints. Shingles are ordered
+from rare to common; two such sets share one of the first n - ceil(similar * n) + 1 of either (prefix filter), so no pair is missed by any order, and each candidate is compared in full.
+Under each shared shingle all sets are first compared with one of them, and then only those left outside its group with the others, so a large group of near copies costs no pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ LENGTH, CHECK = 23, 11
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Keys with more fingerprints than this are linked by stars instead of pairs.
 FEW = 48
+#: Words of a shingle whose sets are compared, documents that tell common shingles, and how many of those must hold one.
+WIDE, SAMPLE, COMMON = 5, 5000, 3
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256).astype(np.int64)
@@ -65,6 +71,105 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long")
 
 
+def shingle_set(words: list[bytes], shingle: int = WIDE) -> np.ndarray:
+    """Distinct hashes of all shingles, in order; a shorter text is one shingle, and one without words has none."""
+    grams = [b" ".join(s) for s in zip(*(words[i:] for i in range(shingle)), strict=False)] or ([b" ".join(words)] if words else [])
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, 7) for g in grams], np.uint64).view(np.int64))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded sample of documents hold, ordered, and in how many; they only set the order in which shingles are tried."""
+    n = docs.count()
+    value = F.xxhash64("doc_id", "text")
+    few = docs.where(value < F.lit(int(SAMPLE / n * 2**64) - 2**63).cast("long")) if n > SAMPLE else docs
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(shingle_set(t.lower().split()) for t in texts_of(b, "text"))]))], ["key"])
+
+    got = few.select("text").mapInArrow(rows, "key long").groupBy("key").count().where(F.col("count") >= COMMON).toArrow()
+    keys, counts = (got.column(c).to_numpy() for c in ("key", "count"))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def marks(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fp, node (name of the set of five-word shingles) and h (that set, rare shingles first) of every row."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    common, counts = common_shingles(docs)
+
+    def rows(batches):
+        for b in batches:
+            fps, nodes, sets = [], [], [np.zeros(0, np.int64)]
+            for t in texts_of(b, "text"):
+                words = t.lower().split()
+                fps.append(fingerprint(words, shingle))
+                h = shingle_set(words)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+                sets.append(h)
+            ends = np.cumsum([len(h) for h in sets]).astype(np.int32)
+            long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "fp", "node", "h"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long, node long, h array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """Those of the pairs a, b whose sets are similar, with fa and fb: a fingerprint of each."""
+    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    full = scratch.keep(sets.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.first("h").alias("h")))
+    scratch.tidy()
+    side = lambda x: full.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("h").alias(f"h{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
+    out = scratch.keep(both.where(F.col("same") >= similar * (F.size("ha") + F.size("hb") - F.col("same")) - 1e-9).select("a", "b", "fa", "fb"))
+    scratch.drop(nodes, full)
+    scratch.tidy()
+    return out
+
+
+def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """Edges a, b between fingerprints of ``marked`` that join all texts whose shingle sets are equal or have a Jaccard similarity of ``similar``."""
+    sets = marked.where(F.size("h") > 0).select("fp", "node", "h")
+    n = F.size("h")
+    first = F.slice("h", F.lit(1), (n - F.ceil(similar * n - 1e-9) + 1).cast("int"))
+    keyed = scratch.keep(sets.select("node", n.alias("n"), F.posexplode(first).alias("at", "key")))
+    pivot = F.min(F.struct("node", "n", "at")).alias("p")
+    shared = scratch.keep(keyed.groupBy("key").agg(pivot, F.max("node").alias("z")).where("p.node <> z").drop("z"))
+    scratch.tidy()
+    hits = scratch.keep(keyed.join(shared, "key").distinct())
+    scratch.drop(keyed, shared)
+    scratch.tidy()
+
+    def may(x, y):
+        """Sizes, and what can follow the first shared shingle, leave room for enough shared ones."""
+        most = F.least(x["n"] - x["at"], y["n"] - y["at"])
+        return most * (1 + similar) >= similar * (x["n"] + y["n"]) - 1e-9
+
+    one = {c: F.col(c) for c in ("node", "n", "at")}
+    star = scratch.keep(hits.where((F.col("node") != F.col("p.node")) & may(one, F.col("p"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
+    near = _verified(star, sets, similar, scratch)
+    group = scratch.keep(components(near.select("a", "b"), scratch))
+    named = hits.join(group.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named = named.join(group.select(F.col("node").alias("pn"), F.col("component").alias("pc")), F.col("p.node") == F.col("pn"), "left").withColumn("pc", F.coalesce("pc", "p.node"))
+    named = scratch.keep(named.select("key", "node", "n", "at", "c", "pc"))
+    # a pair in two groups has a side outside the group of its shingle's pivot
+    rest = scratch.keep(named.where("c <> pc"))
+    a, b = rest.alias("a"), named.alias("b")
+    side = {x: {c: F.col(f"{x}.{c}") for c in ("node", "n", "at", "c")} for x in "ab"}
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (side["a"]["c"] != side["b"]["c"]) & may(side["a"], side["b"]))
+    pairs = scratch.keep(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    more = _verified(pairs, sets, similar, scratch)
+    ends = sets.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
+    equal = sets.select("node", "fp").join(ends, "node").where("a <> fp").select("a", F.col("fp").alias("b"))
+    out = scratch.keep(near.union(more).select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(equal).distinct())
+    scratch.drop(hits, star, near, group, named, rest, pairs, more)
+    return out
+
+
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
     """Remainders modulo the generator of the low 12 and the high 11 bits of a word."""
     def rest(v: int) -> int:
@@ -141,17 +246,20 @@ def links(fps: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, few: int = FEW) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, few: int = FEW, similar: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs`` (columns doc_id, text; others are ignored).
 
     component_id is the smallest doc_id reachable over links, the row's own included. Null and wordless texts have the fingerprint
     zero, which links like any other. Repeated rows and ids are kept. A null doc_id is no candidate for the smallest: a group of such rows only has
-    a null component_id. An empty table gives an empty result.
+    a null component_id. An empty table gives an empty result. With ``similar``, texts of that Jaccard similarity over five-word shingles link too.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.keep(fingerprints(docs, shingle))
+    marked = scratch.keep(fingerprints(docs, shingle) if similar is None else marks(docs, shingle))
     kinds = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    group = components(links(kinds, scratch, few), scratch)
+    edges = links(kinds, scratch, few)
+    if similar is not None:
+        edges = edges.union(similar_links(marked, similar, scratch))
+    group = components(edges, scratch)
     rooted = kinds.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.keep(rooted)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -161,14 +269,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, few: int = FEW) -> DataFr
     return marked.join(of_kind, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = None) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, that with the smallest doc_id, with all columns.
 
     Of rows that repeat that id, the one with the smallest hashed text stays. Rows without an id go into no group: all of them stay.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.where("doc_id is not null")
-    found = near_duplicates(named.select("doc_id", "text"), shingle)
+    found = near_duplicates(named.select("doc_id", "text"), shingle, similar=similar)
     heads = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
     # one way at every size: a small right side would otherwise be broadcast until it is too large for it
     kept = named.join(heads.select("doc_id").hint("merge"), "doc_id", "left_semi")

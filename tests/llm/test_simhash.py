@@ -110,3 +110,47 @@ def test_keep_first(make):
 
 def test_empty(make):
     assert simhash.near_duplicates(make([], "doc_id long, text string")).count() == 0
+
+
+def slow_similar(rows, similar):
+    """Ids that stay of (doc_id, text): two-bit links and pairs whose five-word shingle sets are similar."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    fps, root = [slow_fingerprint(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or a | b and len(a & b) >= similar * len(a | b) - 1e-9:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
+def test_stage_drops_near_copies_beyond_two_bits(make):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(500)]
+    line = " ".join(rng.choices(vocabulary, k=40))
+    rows = []
+    for g in range(12):
+        base = rng.choices(vocabulary, k=rng.choice((6, 30, 120, 300))) + line.split() * (g % 2)
+        for k in range(60 if g == 3 else 8):
+            copy = list(base)
+            for _ in range(k % 16):  # from equal to far, with similarities around the bound
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    want = slow_similar(rows, 0.8)
+    df = make(rows, "doc_id long, text string")
+    assert len(want) < simhash.keep_first(df).count()  # two bits alone leave some
+    got = corpus_pipeline.near_dedup(df.sparkSession, df, "")
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
