@@ -5,7 +5,8 @@ fractions a/q of a fixed period q. Block i of a source is released at floor(i*q/
 with the earliest deadline runs. The sum of the weights is one, so every block meets its window and a source is never a whole block ahead of or behind
 its target. As all releases repeat after q slots, the schedule is made for one period (at most ``q`` rows, whatever the data) and each
 block's slot follows in closed form: a join with the period and arithmetic, no pass over slots. When a source has no blocks left, the period is made anew
-for the remaining ones, so there are no more phases than sources, and every document is placed.
+for the remaining ones, so there are no more phases than sources, and every document is placed. Of a phase that ends within its first period only the
+slots up to its end are made, so the schedule has no more of them than there are blocks. With many sources it is written as a table and joined by block.
 
 Ranks within a source are counted in two levels, cells of (source, leading digits of the hashed id) and then rows within a cell: a hot source is as many groups as there are cells.
 """
@@ -16,11 +17,14 @@ import heapq
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources that a mix may have, which bounds the schedule: a row for each source and phase, and a period of slots for each phase.
-MOST_SOURCES = 300
+from graphflow.scratch import Scratch
+
+#: Up to so many sources the schedule is a literal that every task holds; with more it is a table of blocks.
+FEW_SOURCES = 300
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -32,9 +36,14 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     total = sum(weights.values())
     exact = {s: weights[s] / total * period for s in names}
     out = {s: max(1, math.floor(exact[s])) for s in names}
-    while sum(out.values()) > period:
-        s = max(names, key=lambda s: (out[s] > 1, out[s] - exact[s]))
-        out[s] -= 1
+    over = sum(out.values()) - period
+    if over > 0:
+        most = [(out[s] <= 1, exact[s] - out[s], s) for s in names]
+        heapq.heapify(most)
+        for _ in range(over):
+            s = most[0][2]
+            out[s] -= 1
+            heapq.heapreplace(most, (out[s] <= 1, exact[s] - out[s], s))
     for s in sorted(names, key=lambda s: (out[s] - exact[s], s))[: period - sum(out.values())]:
         out[s] += 1
     while sum(out.values()) < period:
@@ -42,8 +51,11 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def one_period(a: dict[str, int], period: int) -> list[str]:
-    """The source that runs in each slot of a period: earliest deadline first among released blocks, ties to the smaller name."""
+def one_period(a: dict[str, int], period: int, left: dict[str, int] | None = None) -> list[str]:
+    """The source that runs in each slot of a period: earliest deadline first among released blocks, ties to the smaller name.
+
+    With ``left``, blocks by source, the list ends with the slot in which the first source runs out, if that is within the period.
+    """
     waiting = [(0, s, 0) for s in sorted(a)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
@@ -54,6 +66,8 @@ def one_period(a: dict[str, int], period: int) -> list[str]:
             heapq.heappush(ready, (-(-(i + 1) * period // a[s]), s, i))
         _, s, i = heapq.heappop(ready)
         out.append(s)
+        if left and i + 1 == left[s]:
+            break
         if i + 1 < a[s]:
             heapq.heappush(waiting, ((i + 1) * period // a[s], s, i + 1))
     return out
@@ -71,11 +85,14 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
         span = max(period, 10 * len(left)) if len(left) * 2 > period else period
         a = shares({s: weights[s] for s in left}, span)
         slots: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(one_period(a, span)):
+        made = one_period(a, span, left)
+        for t, s in enumerate(made):
             slots[s].append(t)
-        end = min(slots[s][(n - 1) % a[s]] + (n - 1) // a[s] * span for s, n in left.items()) + 1
+        end = len(made)
+        if end == span:
+            end = min(slots[s][(n - 1) % a[s]] + (n - 1) // a[s] * span for s, n in left.items()) + 1
         for s in sorted(left):
-            n = end // span * a[s] + sum(1 for t in slots[s] if t < end % span)
+            n = len(slots[s]) if end < span else end // span * a[s] + sum(1 for t in slots[s] if t < end % span)
             if n:
                 out.append({"source": s, "lo": done[s], "hi": done[s] + n, "a": a[s], "start": start, "span": span, "slots": slots[s]})
             done[s] += n
@@ -90,6 +107,19 @@ def _table(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def _block_table(docs: DataFrame, rows: list[dict]) -> DataFrame:
+    """__s, block and __slot of every block, from a written table of the phases' rows."""
+    kinds = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in ("lo", "hi", "a", "start", "span")), ("slots", pa.list_(pa.int64()))])
+    plan = Scratch(docs.sparkSession).keep(docs.sparkSession.createDataFrame(pa.Table.from_pylist(rows, kinds)))
+    each = plan.select("*", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("block"))
+    return each.select(F.col("source").alias("__s"), "block", _slot(*(F.col(c) for c in ("block", "lo", "a", "start", "span", "slots"))).alias("__slot"))
+
+
+def _slot(block: Column, lo: Column, a: Column, start: Column, span: Column, slots: Column) -> Column:
+    j = block - lo
+    return start + F.floor(j / a) * span + F.element_at(slots, (j % a + 1).cast("int"))
+
+
 def source_of(column: str = "source") -> Column:
     """A row without a source belongs to the source with the empty name."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -113,19 +143,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 8
     than a loss of rows. Rows without a source form the source named "". Ties of equal ids are ordered by hashed text; equal rows are kept. Columns named block, slot or in_block are replaced.
     """
     plain = docs.drop("block", "slot", "in_block")
-    counts = {r["s"]: r["n"] for r in plain.groupBy(source_of().alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
+    counts = {r["s"]: r["n"] for r in plain.groupBy(source_of().alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each source
     weights = weights or {s: n**temper for s, n in counts.items()}
     if missing := sorted(s for s in counts if not weights.get(s, 0) > 0):
         raise ValueError(f"sources without a weight: {missing[:5]}")
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
-    rows = _table(docs, plan, "source:string,lo:long,hi:long,a:long,start:long,span:long,slots:array<long>")
-    # at most one row for each source and phase
-    rows = F.broadcast(rows.select(F.col("source").alias("__s"), *(F.col(c).alias(f"__{c}") for c in ("lo", "hi", "a", "start", "span", "slots"))))
     digits = max(1, min(6, math.ceil(math.log(max(1, sum(counts.values()) / 20_000), 16))))
     at = ranked(plain, digits).withColumn("block", F.floor(F.col("__rank") / block))
-    at = at.join(rows, (at["__s"] == rows["__s"]) & (at["block"] >= rows["__lo"]) & (at["block"] < rows["__hi"]))
-    j = F.col("block") - F.col("__lo")
-    slot = F.col("__start") + F.floor(j / F.col("__a")) * F.col("__span") + F.element_at("__slots", (j % F.col("__a") + 1).cast("int"))
-    return at.select(*(at[c] for c in plain.columns), F.col("block").cast("long").alias("block"), slot.cast("long").alias("slot"), (F.col("__rank") % block).cast("int").alias("in_block"))
+    if len(counts) > FEW_SOURCES:
+        at = at.join(_block_table(docs, plan).hint("merge"), ["__s", "block"])
+        slot = F.col("__slot")
+    else:
+        rows = _table(docs, plan, "source:string,lo:long,hi:long,a:long,start:long,span:long,slots:array<long>")
+        # at most one row for each source and phase
+        rows = F.broadcast(rows.select(F.col("source").alias("__s"), *(F.col(c).alias(f"__{c}") for c in ("lo", "hi", "a", "start", "span", "slots"))))
+        at = at.join(rows, (at["__s"] == rows["__s"]) & (at["block"] >= rows["__lo"]) & (at["block"] < rows["__hi"]))
+        slot = _slot(F.col("block"), *(F.col(f"__{c}") for c in ("lo", "a", "start", "span", "slots")))
+    return at.select(*(at[c] for c in plain.columns), at["block"].cast("long").alias("block"), slot.cast("long").alias("slot"), (F.col("__rank") % block).cast("int").alias("in_block"))

@@ -78,3 +78,16 @@ def test_empty_and_clashing_columns(make):
     assert mixing.mix(df).count() == 0
     df = make([(1, "a", "x", 1, 2), (1, "a", "x", 1, 2)], "doc_id long, source string, block string, lo int, start int")
     assert mixing.mix(df).columns == ["doc_id", "source", "lo", "start", "block", "slot", "in_block"] and mixing.mix(df).count() == 2
+
+
+def test_many_sources_are_scheduled(make):
+    rows = [(i, f"s{k:03}") for i, k in enumerate(k for k in range(450) for _ in range(1 + (k * 7) % 23))]
+    got = mixing.mix(make(rows, "doc_id long, source string"), block=4, period=50).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+    counts = Counter(s for _, s in rows)
+    want = edf({s: -(-n // 4) for s, n in counts.items()}, {s: n**0.5 for s, n in counts.items()}, 50)
+    assert {(r["source"], r["block"]): r["slot"] for r in got} == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["slot"]].append(r["in_block"])
+    assert sorted(places) == list(range(len(want))) and all(sorted(v) == list(range(len(v))) for v in places.values())
