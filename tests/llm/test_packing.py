@@ -4,6 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from graphflow.llm import packing
 
@@ -13,23 +17,49 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_encoder_equals_tokenizer(spark, tokenizer, odd_rows, monkeypatch):
     texts = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [t or "" for _, t, _ in odd_rows]
-    texts += ["a b\nc d", "a b c", " lead", "trail ", "a  b", "a\n\nb", "don't we'll\nx's", "<|endoftext|> x", "a\x1cb c", "a\x85b c\x85", "\n", "a \nb", "😀 é́ b"]
+    texts += ["a b\nc d", "a b c", " lead", "trail ", "a  b", "a\n\nb", "don't we'll\nx's", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|>\n\nb", "a \t\tb \r\nc\x0b\x0cd", "\n\n  x  \n", "\t", "  ", "é è\nüx y", "a\x1cb c", "a\x85b c\x85", "\n", "a \nb", "😀 é́ b"]
     monkeypatch.setattr(packing, "CACHE", 500)
     enc = packing.Encoder(PATH)
     for _ in range(2):
-        got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in map(enc.encode, texts)]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'sdAé1.,<|_\xa0\x85"), st.characters(codec="utf-8"))))
+def test_encoder_equals_tokenizer_on_any_text(text):
+    enc = packing.encoder(PATH)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_text(make, tokenizer):
+    text = "\n".join(f"word{i % 977} of line  {i}" for i in range(60_000))
+    got = packing.pack(make([(1, text, "x")], "doc_id long, text string, span string"), PATH).collect()
+    assert check(got, [(1, text)], tokenizer, packing.ROOM) <= 1 + -(-sum(r["length"] for r in got) // packing.ROOM)
+
+
+def test_spans_are_packed_apart_and_in_order(spark, tokenizer):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = packing.pack(docs, PATH, 256, span=F.col("doc_id") % 3).collect()
+    check(got, [tuple(r) for r in docs.collect()], tokenizer, 256)
+    spans = {}
+    for r in got:
+        spans.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 3)
+    order = [spans[k] for k in sorted(spans)]
+    assert all(len(x) == 1 for x in order) and [min(x) for x in order] == sorted(min(x) for x in order)
+
+
+def test_clashing_columns(make, tokenizer):
+    rows = [(i, f"text {i} of several words", 7, "a", 1, 2, 3) for i in range(50)]
+    got = packing.pack(make(rows, "doc_id long, text string, part int, length string, span int, rank int, lo int"), PATH, 32).collect()
+    check(got, [r[:2] for r in rows], tokenizer, 32)
+
+
 def check(got, rows, tokenizer, room):
     want = Counter()
     for d, t in rows:

@@ -59,7 +59,6 @@ def test_stages(spark, tmp_path):
         at, seen[s] = at + n, seen[s] + n
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     check_packing(held["packing"].collect(), rows(held["mixing"]), t, packing.ROOM)
 
     run = corpus_pipeline.run(spark, SF)
