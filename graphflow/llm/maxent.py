@@ -7,19 +7,21 @@ The probability of a token is that of its class, times that of its cell within t
 Classes come from a word's shape (last character, length, other letters than a-z), cells from its hash. The first two factors are softmaxes over hashed features of the history h: the previous word,
 the word before it (skipping one), and both together, with a bias from corpus counts. The third comes from counts over all training tokens, with one part of each cell left for unknown words.
 
-Counts are made by one grouped sum over all training tokens. Weights are trained by distributed gradient updates: in each round the shards of one
-fold of the training texts take AdaGrad steps over sparse numpy batches from common weights, and each row of the weights becomes the mean of the shards' rows weighted by their summed squared gradients. Every
-training text is in one fold. Scoring is one pass; only words outside a bounded set of frequent ones are joined with their counts, so no key is hot.
+Counts are made by one grouped sum over all training tokens. Weights are trained by distributed gradient updates in synchronous rounds: every training text is in the fold of one round, the tasks sum the
+gradient of their texts under the round's common weights, the sums of all tasks are added up, and one damped step by its ratio to the curvature (the row's tokens times the class's or cell's prior share) gives the next weights. So the
+model depends on the texts alone, not on their partitions or the cluster. The tables of hashed rows, classes and cells have fixed sizes; what the model tells apart within a cell are the counts, which grow
+with the corpus. Scoring is one pass; only words outside a bounded set of frequent ones are joined with their counts, so no key is hot.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphflow.llm.common import WHITE, id_text, small_batches, texts_of
@@ -32,10 +34,18 @@ ROWS = 1 << 13
 CELL_ROWS = 1 << 14
 #: Features: the previous word, the one before it, both.
 KINDS = 3
-STEP = 8192
+#: Tokens whose rows are gathered at once, and rows of a block of summed gradients.
+STEP = 1 << 15
+BLOCK_ROWS = 512
+#: Rounds, the share of a step that a feature takes, and tokens that damp a rare row.
+ROUNDS, RATE, DAMP = 3, 0.6, 5.0
+#: Bound of a weight.
+MOST = 10.0
 #: Frequent words whose counts every task holds.
 FREQUENT = 1 << 18
-_PIECE = 1 << 21
+_PIECE = 1 << 19
+#: Bytes from which a text is cut at white space; its history goes on behind the cut.
+_LONG = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _END = np.uint64(0xC3A5C85C97CB3127)
@@ -51,6 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _VALUES = _mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _WHITE = np.zeros(256, bool)
 _WHITE[list(WHITE)] = True
 #: Kinds of a word's last byte: letters, digits, other bytes, and a few marks by themselves.
@@ -74,11 +85,12 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tokens:
-    """Tokens of some texts in order: hash, cell (class * CELLS + place), owner (index of the text); every text ends with an end token."""
+    """Tokens of some texts in order: hash, cell (class * CELLS + place), owner (index of the text); every text ends with an end token. before: the two tokens before the first, nearest first."""
 
     hash: np.ndarray
     cell: np.ndarray
     owner: np.ndarray
+    before: tuple[np.uint64, np.uint64] = (_START, _START)
 
 
 def tokens_of(texts: list[bytes]) -> Tokens:
@@ -107,20 +119,20 @@ def tokens_of(texts: list[bytes]) -> Tokens:
 
 
 def _pieces(texts: list[bytes]):
-    """(index of the first text, texts, which of them end here): long texts are cut at white space so that arrays stay small."""
+    """(index of the first text, texts, whether the last one ends here): long texts are cut at white space so that arrays stay small."""
     at, size, group = 0, 0, []
     for i, t in enumerate(texts):
         if group and size + len(t) > _PIECE:
             yield at, group, True
             at, size, group = i, 0, []
-        if len(t) > 2 * _PIECE:
+        if len(t) > _LONG:
             lo = 0
-            while len(t) - lo > 2 * _PIECE:
-                cuts = [x for x in (t.find(bytes([c]), lo + _PIECE) for c in WHITE) if x >= 0]
-                if not cuts or min(cuts) + 1 >= len(t):
+            while len(t) - lo > _LONG:
+                cut = _GAP.search(t, lo + _PIECE)
+                if not cut or cut.end() >= len(t):
                     break
-                yield i, [t[lo : min(cuts)]], False
-                lo = min(cuts) + 1
+                yield i, [t[lo : cut.start()]], False
+                lo = cut.end()
             yield i, [t[lo:]], True
             at, size, group = i + 1, 0, []
         else:
@@ -131,10 +143,17 @@ def _pieces(texts: list[bytes]):
 
 
 def token_pieces(texts: list[bytes]):
-    """(index of the first text, Tokens) over all texts; a piece that its text continues after has no end token."""
+    """(index of the first text, Tokens) over all texts; a piece that its text continues after has no end token, and the next one knows the tokens before."""
+    before = (_START, _START)
     for at, group, ends in _pieces(texts):
         t = tokens_of(group)
-        yield at, t if ends else Tokens(t.hash[:-1], t.cell[:-1], t.owner[:-1])
+        if ends:
+            yield at, Tokens(t.hash, t.cell, t.owner, before)
+            before = (_START, _START)
+        else:
+            cut = Tokens(t.hash[:-1], t.cell[:-1], t.owner[:-1], before)
+            yield at, cut
+            before = (*cut.hash[:-3:-1], *before)[:2]
 
 
 def features(t: Tokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -146,91 +165,101 @@ def features(t: Tokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
         if n > back:
             same = t.owner[back:] == t.owner[:-back]
             h[back:][same] = t.hash[:-back][same]
+        first = min(back, n, int(np.searchsorted(t.owner, t.owner[0], side="right"))) if n else 0
+        for i in range(first):
+            h[i] = t.before[back - 1 - i]
         before.append(h)
     mixed = [before[0] ^ np.uint64(0x1234567), _mix(before[1] + np.uint64(0x51ED27)), _mix(before[0] * np.uint64(3) + before[1])]
-    return [(k * ROWS + (m >> np.uint64(20)) % np.uint64(ROWS)).astype(np.int64) for k, m in enumerate(mixed)], mixed
+    return [((m >> np.uint64(20)) % np.uint64(ROWS)).astype(np.intp) for m in mixed], mixed
 
 
 def cell_rows(mixed: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
-    return [(k * CELL_ROWS + _mix(m + classes.astype(np.uint64) * np.uint64(_BASE)) % np.uint64(CELL_ROWS)).astype(np.int64) for k, m in enumerate(mixed)]
+    return [(_mix(m + classes.astype(np.uint64) * np.uint64(_BASE)) % np.uint64(CELL_ROWS)).astype(np.intp) for m in mixed]
+
+
+#: Rows and columns of the two tables of weights, which have KINDS layers each.
+SHAPES = ((ROWS, CLASSES), (CELL_ROWS, CELLS))
 
 
 @dataclass
 class Model:
-    """Weights (one row for each hashed feature) and biases (from the mass of classes and cells)."""
+    """Weights (kind, hashed feature, class; kind, hashed feature, cell) and priors from the mass of classes and cells."""
 
-    to_class: np.ndarray
-    to_cell: np.ndarray
-    class_bias: np.ndarray
-    cell_bias: np.ndarray
+    weights: list[np.ndarray]
+    class_prior: np.ndarray
+    cell_prior: np.ndarray
 
     @staticmethod
     def start(mass: np.ndarray) -> Model:
         """Without weights the model is that of the mass of the cells alone."""
         m = mass.reshape(CLASSES, CELLS)
         by = m.sum(1)
-        return Model(np.zeros((KINDS * ROWS, CLASSES), np.float32), np.zeros((KINDS * CELL_ROWS, CELLS), np.float32), np.log(by / by.sum()).astype(np.float32), np.log(m / by[:, None]).astype(np.float32))
+        return Model([np.zeros((KINDS, *shape), np.float32) for shape in SHAPES], (by / by.sum()).astype(np.float32), (m / by[:, None]).astype(np.float32))
 
-    def logits(self, rows, cells, classes) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.repeat(self.class_bias[None], len(classes), 0), self.cell_bias[classes]
-        for r, c in zip(rows, cells, strict=True):
-            a += self.to_class[r]
-            b += self.to_cell[c]
-        return a, b
-
-    def log10(self, t: Tokens) -> np.ndarray:
-        """log10 of P(class | h) * P(cell | class, h) for each token."""
-        out = np.empty(len(t.hash))
-        rows, mixed = features(t)
-        for at in range(0, len(out), STEP):
-            cut = slice(at, at + STEP)
-            classes, places = np.divmod(t.cell[cut], CELLS)
-            pair = self.logits([r[cut] for r in rows], cell_rows([m[cut] for m in mixed], classes), classes)
-            total = 0.0
-            for z, y in zip(pair, (classes, places), strict=True):
-                z -= z.max(1, keepdims=True)
-                total = total + z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
-            out[cut] = total
-        return out / math.log(10)
+    def stepped(self, sums: list[np.ndarray]) -> Model:
+        """The model after one step; sums: by kind and row the gradient, and in the last column the row's tokens."""
+        new = []
+        for w, s, prior in zip(self.weights, sums, (self.class_prior, np.full(CELLS, 1 / CELLS)), strict=True):
+            g = s[..., :-1]
+            step = np.sign(g) * np.log1p(np.abs(g) / (s[..., -1:] * prior + DAMP))
+            new.append(np.clip(w + RATE * step, -MOST, MOST).astype(np.float32))
+        return Model(new, self.class_prior, self.cell_prior)
 
 
-class Trainer:
-    """AdaGrad steps over sparse batches; the summed squared gradient of a row sets its rate and its weight in the mean of shards."""
+class Batches:
+    """Goes through tokens in sparse batches: only rows that a batch's features name are read and written."""
 
-    def __init__(self, model: Model, rate: float):
-        self.start, self.rate = model, rate
-        self.model = Model(model.to_class.copy(), model.to_cell.copy(), model.class_bias, model.cell_bias)
-        self.squares = [np.zeros(len(model.to_class), np.float32), np.zeros(len(model.to_cell), np.float32)]
+    def __init__(self, model: Model):
+        self.model = model
+        self.odds = [np.exp(w) for w in model.weights]  # a softmax is a product of rows of these, then
+        self.sums: list[np.ndarray] = []
 
-    def learn(self, t: Tokens) -> None:
+    def _steps(self, t: Tokens):
+        """Slice, and for both softmaxes (rows by kind, the right column, odds, their sums)."""
         rows, mixed = features(t)
         for at in range(0, len(t.hash), STEP):
             cut = slice(at, at + STEP)
             classes, places = np.divmod(t.cell[cut], CELLS)
             pick = [r[cut] for r in rows], cell_rows([m[cut] for m in mixed], classes)
-            z = self.model.logits(*pick, classes)
-            for logits, y, hit, weights, squares in zip(z, (classes, places), pick, (self.model.to_class, self.model.to_cell), self.squares, strict=True):
-                logits -= logits.max(1, keepdims=True)
-                np.exp(logits, out=logits)
-                logits /= logits.sum(1, keepdims=True)
-                logits[np.arange(len(y)), y] -= 1
-                for r in hit:
-                    order = np.argsort(r, kind="stable")
-                    ranked = r[order]
-                    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-                    g = np.add.reduceat(logits[order], first, axis=0)
-                    at_rows = ranked[first]
-                    squares[at_rows] += np.einsum("ij,ij->i", g, g)
-                    weights[at_rows] -= (self.rate / np.sqrt(squares[at_rows] + 1.0))[:, None] * g
-
-    def blocks(self, size: int = 2048):
-        """(table, block, packed): changes times their weight, beside the weight, for blocks of rows that moved."""
-        for k, (new, old, squares) in enumerate(((self.model.to_class, self.start.to_class, self.squares[0]), (self.model.to_cell, self.start.to_cell, self.squares[1]))):
-            for at in range(0, len(new), size):
-                w = squares[at : at + size]
-                if w.any():
-                    change = (new[at : at + size] - old[at : at + size]) * w[:, None]
-                    yield k, at, np.concatenate([change, w[:, None]], 1).astype("<f4").tobytes()
+            out = []
+            for hit, y, table, odds in zip(pick, (classes, places), self.odds, (None, np.take(self.model.cell_prior, classes, axis=0)), strict=True):
+                if odds is None:
+                    odds = np.repeat(self.model.class_prior[None], len(classes), 0)
+                for k, r in enumerate(hit):
+                    odds *= np.take(table[k], r, axis=0)
+                out.append((hit, y, odds, odds @ np.ones(odds.shape[1], np.float32)))
+            yield cut, out
+
+    def log10(self, t: Tokens) -> np.ndarray:
+        """log10 of P(class | h) * P(cell | class, h) for each token."""
+        out = np.zeros(len(t.hash))
+        for cut, both in self._steps(t):
+            for _, y, odds, total in both:
+                out[cut] += np.log10(odds[np.arange(len(y)), y] / total.astype(float))
+        return out
+
+    def learn(self, t: Tokens) -> None:
+        """Add the gradient of the tokens' log-likelihood to the sums: what is there less what the model expects."""
+        self.sums = self.sums or [np.zeros((KINDS, columns + 1, rows)) for rows, columns in SHAPES]
+        for _, both in self._steps(t):
+            for (hit, y, odds, total), sums in zip(both, self.sums, strict=True):
+                odds *= (-1 / total)[:, None]
+                odds[np.arange(len(y)), y] += 1
+                columns = np.ascontiguousarray(odds.T)
+                for k, r in enumerate(hit):
+                    n = sums.shape[2]
+                    for j, c in enumerate(columns):
+                        sums[k, j] += np.bincount(r, c, n)
+                    sums[k, -1] += np.bincount(r, minlength=n)
+
+    def blocks(self):
+        """(table, kind, first row, packed sums) of blocks of rows that occurred."""
+        for table, sums in enumerate(self.sums):
+            for kind in range(KINDS):
+                rows = np.ascontiguousarray(sums[kind].T, "<f4")
+                for at in range(0, len(rows), BLOCK_ROWS):
+                    if rows[at : at + BLOCK_ROWS, -1].any():
+                        yield table, kind, at, rows[at : at + BLOCK_ROWS].tobytes()
 
 
 def _counted(docs: DataFrame, most: int = 1_500_000) -> DataFrame:
@@ -265,40 +294,46 @@ def _counted(docs: DataFrame, most: int = 1_500_000) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "h long, cell int, c long").groupBy("h").agg(F.first("cell").alias("cell"), F.sum("c").alias("c"))
 
 
-def _round(docs: DataFrame, model: Model, rate: float, shards: int) -> Model:
-    """One round of updates over ``docs``: shards learn by themselves, and their weights are averaged row by row."""
+def _round(docs: DataFrame, model: Model, tasks: int) -> Model:
+    """One synchronous round of updates over ``docs``."""
+    names = ["table", "kind", "at", "packed"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+
     def learn(batches):
-        trainer = Trainer(model, rate)
+        learner = Batches(model)
         for b in batches:
             for _, t in token_pieces(texts_of(b, "text")):
-                trainer.learn(t)
-        out = list(trainer.blocks())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["table", "at", "packed"])
+                learner.learn(t)
+        for x in learner.blocks():
+            yield batch([x])
 
     def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for k, at, packed in zip(*(b.column(c).to_pylist() for c in ("table", "at", "packed")), strict=True):
-                x = np.frombuffer(packed, "<f4").astype(np.float64)
-                sums[k, at] = sums[k, at] + x if (k, at) in sums else x
-        for (k, at), x in sums.items():
-            yield pa.RecordBatch.from_pydict({"table": pa.array([k], pa.int32()), "at": pa.array([at], pa.int32()), "packed": [x.astype("<f4").tobytes()]})
-
-    schema = "table int, at int, packed binary"
-    moved = docs.select("text").coalesce(shards).mapInArrow(learn, schema).repartition("table", "at").mapInArrow(add, schema).collect()  # as large as the weights
-    new = Model(model.to_class.copy(), model.to_cell.copy(), model.class_bias, model.cell_bias)
-    for r in moved:
-        weights, width = (new.to_class, CLASSES) if r["table"] == 0 else (new.to_cell, CELLS)
-        x = np.frombuffer(r["packed"], "<f4").reshape(-1, width + 1)
-        weights[r["at"] : r["at"] + len(x)] += x[:, :-1] / np.maximum(x[:, -1:], 1e-12)
-    return new
-
-
-def score_documents(docs: DataFrame, held_out, rounds: int = 2, rate: float = 0.3, frequent: int = FREQUENT) -> DataFrame:
+            for *key, packed in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                x = np.frombuffer(packed, "<f4").astype(float)
+                key = tuple(key)
+                sums[key] = sums[key] + x if key in sums else x
+        for key, x in sums.items():
+            yield batch([(*key, x.astype("<f4").tobytes())])
+
+    schema = "table int, kind int, at int, packed binary"
+    # as large as the weights, whatever the corpus
+    got = docs.select("text").coalesce(tasks).mapInArrow(learn, schema).repartition("table", "kind", "at").mapInArrow(add, schema).collect()
+    sums = [np.zeros((KINDS, rows, columns + 1)) for rows, columns in SHAPES]
+    for r in got:
+        x = np.frombuffer(r["packed"], "<f4").reshape(-1, sums[r["table"]].shape[2])
+        sums[r["table"]][r["kind"], r["at"] : r["at"] + len(x)] = x
+    return model.stepped(sums)
+
+
+def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; the model learns from rows where ``held_out`` (a column) is false.
 
-    A null text counts as empty: its one token is the end. Repeated rows are scored, and learned from, each. Without training rows every count is zero. Other columns are ignored.
+    A null text counts as empty: its one token is the end. Texts of any length are read whole, with their history. Repeated rows are scored, and learned from, each. Without training rows every count is zero. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -312,25 +347,29 @@ def score_documents(docs: DataFrame, held_out, rounds: int = 2, rate: float = 0.
         mass[r["cell"]] += r["n"] + r["v"]
     n_all, v_all = sum(r["n"] for r in cells), sum(r["v"] for r in cells)
 
-    # the smallest count that at most ``frequent`` words reach
-    levels = counts.groupBy("c").agg(F.count("*").alias("words"))
-    levels = levels.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("c"))))
-    least = levels.where(F.col("above") <= frequent).agg(F.min("c")).first()[0]
-    head = counts.where(F.col("c") >= least).select("h", "c").toArrow() if least is not None else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+    # the smallest power of two that the counts of at most ``frequent`` words reach
+    size = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
+    levels = {r["k"]: r["n"] for r in counts.groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()}  # at most 63 rows
+    above = [k for k in range(64) if sum(n for j, n in levels.items() if j >= k) <= frequent]
+    head = counts.where(F.col("c") >= F.lit(1 << min(above)).cast("long")).select("h", "c").toArrow()
     known, known_c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(known)
     known, known_c = known[order], known_c[order]
 
     model = Model.start(mass)
-    shards = max(8, 4 * spark.sparkContext.defaultParallelism)
     if n_all:
         fold = F.pmod(F.xxhash64(id_text("doc_id")), F.lit(rounds))
+        splits = training.rdd.getNumPartitions()
+        # a task takes as many splits as there are folds, if that leaves one for every core
+        tasks = max(-(-splits // rounds), min(splits, spark.sparkContext.defaultParallelism))
         for k in range(rounds):
-            model = _round(training.where(fold == k), model, rate, shards)
+            model = _round(training.where(fold == k), model, tasks)
+            scratch.tidy()
     log_mass = np.log10(mass)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches):
+        scorer = Batches(model)
         for b in batches:
             texts = texts_of(b, "text")
             n, near, sums, seen = (np.zeros(len(texts), k) for k in (np.int64, float, float, np.int64))
@@ -338,7 +377,7 @@ def score_documents(docs: DataFrame, held_out, rounds: int = 2, rate: float = 0.
             for at, t in token_pieces(texts):
                 who = t.owner + at
                 n += np.bincount(who, minlength=len(texts))
-                near += np.bincount(who, model.log10(t) - log_mass[t.cell], len(texts))
+                near += np.bincount(who, scorer.log10(t) - log_mass[t.cell], len(texts))
                 place = np.minimum(np.searchsorted(known, t.hash), max(len(known) - 1, 0))
                 hit = known[place] == t.hash if len(known) else np.zeros(len(t.hash), bool)
                 sums += np.bincount(who[hit], np.log10(known_c[place[hit]] + 1.0), len(texts))
