@@ -10,6 +10,8 @@ from graphflow.llm.common import table
 from graphflow.llm.queries import tokenizer_path
 from graphflow.scratch import Scratch
 
+#: Documents of a stretch of the mix that is packed by itself.
+SPAN_ROWS = 100_000
 #: The stages tokenise and train, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -38,8 +40,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """The pieces of all documents with their places in sequences.
+
+    Stretches of the mix, files in a row with about SPAN_ROWS documents together, are packed by themselves and their sequences numbered in the order of
+    the mix, so the sequences follow the schedule.
+    """
+    file = F.coalesce(F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    rows, last = docs.select(file.alias("file")).agg(F.count("*"), F.max("file")).first()
+    files = (last or 0) + 1
+    return packing.pack(docs, tokenizer_path(), span=F.floor(file / max(1, round(files * SPAN_ROWS / max(rows, 1)))))
 
 
 STAGES = [("quality", quality_rules), ("lines", line_dedup), ("near_duplicates", near_dedup), ("mixing", source_mix), ("packing", best_fit)]

@@ -16,36 +16,41 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     near = _both(edges)
-    low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return near.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # minima are written before they are joined: the join's sides are then plain exchanges, and a hub's side is split
+    low = scratch.keep(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    out = scratch.keep(near.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+    scratch.drop(low)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = scratch.keep(down.groupBy("u").agg(F.min("v").alias("m")))
     joined = down.join(low, "u")
-    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+    out = scratch.keep(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+    scratch.drop(low)
+    return out
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node that it reaches.
 
     ``edges`` has the columns a, b of one orderable type; direction, loops and repeats don't matter,
-    rows with a null end are left out. Nodes without an edge to another node are not returned.
+    rows with a null end are left out. Nodes without an edge to another node are not returned. Rounds go on to the fixed point,
+    which every graph has: no round makes a node's smallest neighbour larger.
     """
     scratch = scratch or Scratch(edges.sparkSession)
     now = scratch.keep(edges.select("a", "b").where("a <> b").distinct())
     state = None
-    for _ in range(max_rounds):
-        new = scratch.keep(_small_star(_large_star(now)))
+    while True:
+        large = _large_star(now, scratch)
+        new = _small_star(large, scratch)
         seen = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        scratch.drop(now)
+        scratch.drop(now, large)
         now = new
         if seen == state:
             break
         state = seen
-    else:
-        raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
