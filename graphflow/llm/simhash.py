@@ -121,52 +121,65 @@ def marks(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs a, b whose sets are similar, with fa and fb: a fingerprint of each."""
     nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    full = scratch.keep(sets.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.first("h").alias("h")))
+    some = scratch.keep(sets.join(nodes.hint("merge"), "node", "left_semi"))
+    full = scratch.keep(some.groupBy("node").agg(F.min("fp").alias("fp"), F.first("h").alias("h")))
+    scratch.drop(nodes, some)
     scratch.tidy()
     side = lambda x: full.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("h").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
     out = scratch.keep(both.where(F.col("same") >= similar * (F.size("ha") + F.size("hb") - F.col("same")) - 1e-9).select("a", "b", "fa", "fb"))
-    scratch.drop(nodes, full)
+    scratch.drop(full)
     scratch.tidy()
     return out
 
 
 def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
-    """Edges a, b between fingerprints of ``marked`` that join all texts whose shingle sets are equal or have a Jaccard similarity of ``similar``."""
+    """Edges a, b between fingerprints of ``marked`` that join all texts whose shingle sets are equal or have a Jaccard similarity of ``similar``.
+
+    Equal sets are one row from the start. Only the keys travel first; those that two sets share are few, and what is known of a set meets them alone.
+    """
     sets = marked.where(F.size("h") > 0).select("fp", "node", "h")
     n = F.size("h")
-    first = F.slice("h", F.lit(1), (n - F.ceil(similar * n - 1e-9) + 1).cast("int"))
-    keyed = scratch.keep(sets.select("node", n.alias("n"), F.posexplode(first).alias("at", "key")))
-    pivot = F.min(F.struct("node", "n", "at")).alias("p")
-    shared = scratch.keep(keyed.groupBy("key").agg(pivot, F.max("node").alias("z")).where("p.node <> z").drop("z"))
+    prefix = F.slice("h", F.lit(1), (n - F.ceil(similar * n - 1e-9) + 1).cast("int"))
+    distinct = scratch.keep(sets.select("node", n.alias("n"), prefix.alias("keys")).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     scratch.tidy()
-    hits = scratch.keep(keyed.join(shared, "key").distinct())
-    scratch.drop(keyed, shared)
+    keyed = distinct.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    shared = scratch.keep(keyed.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("z")).where("p <> z").drop("z"))
+    scratch.tidy()
+    hits = scratch.keep(keyed.join(shared.hint("merge"), "key"))
+    scratch.drop(distinct, shared)
     scratch.tidy()
+    pivots = scratch.keep(hits.where("node = p").select("key", F.col("n").alias("pn"), F.col("at").alias("pat")))
 
     def may(x, y):
         """Sizes, and what can follow the first shared shingle, leave room for enough shared ones."""
         most = F.least(x["n"] - x["at"], y["n"] - y["at"])
         return most * (1 + similar) >= similar * (x["n"] + y["n"]) - 1e-9
 
-    one = {c: F.col(c) for c in ("node", "n", "at")}
-    star = scratch.keep(hits.where((F.col("node") != F.col("p.node")) & may(one, F.col("p"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
+    one, pivot = {c: F.col(c) for c in ("n", "at")}, {"n": F.col("pn"), "at": F.col("pat")}
+    star = scratch.keep(hits.where("node <> p").join(pivots, "key").where(may(one, pivot)).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
+    scratch.tidy()
     near = _verified(star, sets, similar, scratch)
     group = scratch.keep(components(near.select("a", "b"), scratch))
     named = hits.join(group.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named = named.join(group.select(F.col("node").alias("pn"), F.col("component").alias("pc")), F.col("p.node") == F.col("pn"), "left").withColumn("pc", F.coalesce("pc", "p.node"))
+    named = named.join(group.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     named = scratch.keep(named.select("key", "node", "n", "at", "c", "pc"))
+    scratch.drop(hits, pivots, group)
+    scratch.tidy()
     # a pair in two groups has a side outside the group of its shingle's pivot
     rest = scratch.keep(named.where("c <> pc"))
     a, b = rest.alias("a"), named.alias("b")
     side = {x: {c: F.col(f"{x}.{c}") for c in ("node", "n", "at", "c")} for x in "ab"}
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (side["a"]["c"] != side["b"]["c"]) & may(side["a"], side["b"]))
     pairs = scratch.keep(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    scratch.drop(named, rest, star)
+    scratch.tidy()
     more = _verified(pairs, sets, similar, scratch)
-    ends = sets.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
+    ends = scratch.keep(sets.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z"))
     equal = sets.select("node", "fp").join(ends, "node").where("a <> fp").select("a", F.col("fp").alias("b"))
     out = scratch.keep(near.union(more).select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(equal).distinct())
-    scratch.drop(hits, star, near, group, named, rest, pairs, more)
+    scratch.drop(near, pairs, more, ends)
+    scratch.tidy()
     return out
 
 
@@ -231,7 +244,7 @@ def links(fps: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     """
     keyed = scratch.keep(_keyed(fps))
     shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    hits = scratch.keep(keyed.join(shared, "key"))
+    hits = scratch.keep(keyed.join(shared.hint("merge"), "key"))
     scratch.drop(keyed, shared)
     thin = hits.where(F.col("n") <= few)
     pairs = thin.select("key", F.col("fp").alias("a")).join(thin.select("key", F.col("fp").alias("b")), "key")
@@ -240,9 +253,10 @@ def links(fps: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *(F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)))
     around = scratch.keep(full.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word")))
     star = around.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = scratch.keep(star)
     stars = around.join(star, "word").where("a <> fp").select("a", F.col("fp").alias("b"))
     out = scratch.keep(pairs.union(stars).distinct())
-    scratch.drop(hits, around)
+    scratch.drop(hits, around, star)
     return out
 
 
@@ -260,13 +274,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, few: int = FEW, similar:
     if similar is not None:
         edges = edges.union(similar_links(marked, similar, scratch))
     group = components(edges, scratch)
-    rooted = kinds.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = kinds.join(group.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.keep(rooted)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_kind = scratch.keep(rooted.join(named, "root").select("fp", "component_id"))
-    scratch.drop(kinds, rooted)
+    named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    # joined the same way at every size: fingerprints grow with the corpus
+    of_kind = scratch.keep(rooted.join(named.hint("merge"), "root").select("fp", "component_id"))
+    scratch.drop(kinds, rooted, named)
     scratch.tidy()
-    return marked.join(of_kind, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of_kind.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = None) -> DataFrame:
@@ -279,8 +294,11 @@ def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = None)
     found = near_duplicates(named.select("doc_id", "text"), shingle, similar=similar)
     heads = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
     # one way at every size: a small right side would otherwise be broadcast until it is too large for it
-    kept = named.join(heads.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not heads.where("rows > 1").isEmpty():
-        once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *docs.columns)
-        kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    kept = named.join(heads.where("rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    many = heads.where("rows > 1").select("doc_id")
+    if not many.isEmpty():
+        # a minimum is combined before its shuffle, however often an id repeats
+        first = F.min(F.struct(F.xxhash64("text").alias("order"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))).alias("least")
+        once = named.join(many.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("least.row.*")
+        kept = kept.select(*docs.columns).unionByName(once)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

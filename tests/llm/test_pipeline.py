@@ -9,10 +9,10 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from graphflow.llm import packing, quality, queries, simhash
+from graphflow.llm import mixing, packing, quality, queries, simhash
 from test_mixing import edf
 from test_packing import check as check_packing
-from test_simhash import slow_components, slow_fingerprint
+from test_simhash import slow_similar
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -42,8 +42,7 @@ def test_stages(spark, tmp_path):
     assert Counter(rows(held["lines"])) == Counter(want)
     assert all(r["n_chars"] == len(r["text"]) for r in held["lines"].collect())
 
-    marked = [(d, slow_fingerprint(t)) for d, t in rows(held["lines"])]
-    firsts = {c for _, _, c in slow_components(marked)}
+    firsts = set(slow_similar(rows(held["lines"]), 0.8))
     assert Counter(rows(held["near_duplicates"])) == Counter((d, t) for d, t in rows(held["lines"]) if d in firsts)
     assert simhash.near_duplicates(held["near_duplicates"]).where("doc_id <> component_id").isEmpty()
 
@@ -66,6 +65,28 @@ def test_stages(spark, tmp_path):
     assert key(run) == key(held["packing"])
 
 
+def test_sequences_follow_the_mix(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "SPAN_ROWS", 60)
+    rows = [(i, " ".join(f"w{i * k % 97}" for k in range(120)), "a" if i < 240 else "b" if i < 360 else "c") for i in range(400)]
+    docs = make(rows, "doc_id long, text string, source string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        corpus_pipeline.source_mix(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    got = corpus_pipeline.best_fit(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    slots = {r["doc_id"]: r["slot"] for r in mixing.mix(docs).collect()}
+    spans = {}
+    for r in got:
+        spans.setdefault(r["sequence_id"] >> 32, []).append(slots[r["doc_id"]])
+    order = [spans[k] for k in sorted(spans)]
+    assert len(order) >= 4 and sum(map(len, order)) == len(rows)
+    assert all(max(x) <= min(y) for x, y in zip(order, order[1:], strict=False))
+
+
 def test_rest_works_without_this_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "graphflow"):
         subprocess.run(["cp", "-r", os.path.join(ROOT, name), str(tmp_path)], check=True)
