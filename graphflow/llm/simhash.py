@@ -12,7 +12,7 @@ Fingerprints under fuller keys are linked exactly and without pairs: each stands
 fingerprints share one of those words if and only if at most two bits differ, so a star per word carries all links.
 
 On request (``similar``) texts also link when the sets of their five-word shingles have at least that Jaccard similarity, whatever their fingerprints. Shingles are ordered
-from rare to common; two such sets share one of the first n - ceil(similar * n) + 1 of either (prefix filter), so no pair is missed by any order, and each candidate is compared in full.
+from rare to common; two such sets share one of the first n - ceil(similar * n) + 1 of either (prefix filter), so no pair is missed by any order; parity bits, which cannot differ in more places than the sets, spare most candidates, and the others are compared in full.
 Under each shared shingle all sets are first compared with one of them, and then only those left outside its group with the others, so a large group of near copies costs no pairs.
 """
 
@@ -39,6 +39,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 FEW = 48
 #: Words of a shingle whose sets are compared, documents that tell common shingles, and how many of those must hold one.
 WIDE, SAMPLE, COMMON = 5, 5000, 3
+#: Bits that tell most dissimilar sets apart before they are compared in full.
+PARITY = 2048
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256).astype(np.int64)
@@ -94,32 +96,45 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, node (name of the set of five-word shingles) and h (that set, rare shingles first) of every row."""
+    """doc_id, fp, node (name of the set of five-word shingles), h (that set, rare shingles first) and bits (PARITY bits: how many shingles fall on each, modulo two) of every row."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     common, counts = common_shingles(docs)
 
     def rows(batches):
         for b in batches:
-            fps, nodes, sets = [], [], [np.zeros(0, np.int64)]
+            fps, nodes, bits, sets = [], [], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
             for t in texts_of(b, "text"):
                 words = t.lower().split()
                 fps.append(fingerprint(words, shingle))
                 h = shingle_set(words)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                bits.append(np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
                 sets.append(h)
             ends = np.cumsum([len(h) for h in sets]).astype(np.int32)
             long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "fp", "node", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), _lists(np.concatenate(bits).view(np.int64), PARITY // 64)], ["doc_id", "fp", "node", "h", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long, node long, h array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long, node long, h array<long>, bits array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
-    """Those of the pairs a, b whose sets are similar, with fa and fb: a fingerprint of each."""
+def _lists(values: np.ndarray, size: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size, dtype=np.int32)), pa.array(values))
+
+
+def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """Those of the pairs a, b whose sets are similar, with fa and fb: a fingerprint of each.
+
+    Parity bits differ in no more places than the sets do, so a pair with too many such places is not similar: most others are never compared in full.
+    """
+    side = lambda x: bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = scratch.keep(both.where(apart * (1 + similar) <= (1 - similar) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
+    scratch.tidy()
     nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     some = scratch.keep(sets.join(nodes.hint("merge"), "node", "left_semi"))
     full = scratch.keep(some.groupBy("node").agg(F.min("fp").alias("fp"), F.first("h").alias("h")))
@@ -128,7 +143,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratc
     side = lambda x: full.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("h").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
     out = scratch.keep(both.where(F.col("same") >= similar * (F.size("ha") + F.size("hb") - F.col("same")) - 1e-9).select("a", "b", "fa", "fb"))
-    scratch.drop(full)
+    scratch.drop(full, pairs)
     scratch.tidy()
     return out
 
@@ -141,12 +156,14 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     sets = marked.where(F.size("h") > 0).select("fp", "node", "h")
     n = F.size("h")
     prefix = F.slice("h", F.lit(1), (n - F.ceil(similar * n - 1e-9) + 1).cast("int"))
-    distinct = scratch.keep(sets.select("node", n.alias("n"), prefix.alias("keys")).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
+    known = marked.where(n > 0).select("node", n.alias("n"), prefix.alias("keys"), "bits")
+    distinct = scratch.keep(known.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "bits"))))
     scratch.tidy()
     keyed = distinct.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = scratch.keep(keyed.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("z")).where("p <> z").drop("z"))
     scratch.tidy()
     hits = scratch.keep(keyed.join(shared.hint("merge"), "key"))
+    bits = scratch.keep(distinct.join(hits.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "n", "bits"))
     scratch.drop(distinct, shared)
     scratch.tidy()
     pivots = scratch.keep(hits.where("node = p").select("key", F.col("n").alias("pn"), F.col("at").alias("pat")))
@@ -159,7 +176,7 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     one, pivot = {c: F.col(c) for c in ("n", "at")}, {"n": F.col("pn"), "at": F.col("pat")}
     star = scratch.keep(hits.where("node <> p").join(pivots, "key").where(may(one, pivot)).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
     scratch.tidy()
-    near = _verified(star, sets, similar, scratch)
+    near = _verified(star, bits, sets, similar, scratch)
     group = scratch.keep(components(near.select("a", "b"), scratch))
     named = hits.join(group.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = named.join(group.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
@@ -174,11 +191,11 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     pairs = scratch.keep(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     scratch.drop(named, rest, star)
     scratch.tidy()
-    more = _verified(pairs, sets, similar, scratch)
+    more = _verified(pairs, bits, sets, similar, scratch)
     ends = scratch.keep(sets.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z"))
     equal = sets.select("node", "fp").join(ends, "node").where("a <> fp").select("a", F.col("fp").alias("b"))
     out = scratch.keep(near.union(more).select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(equal).distinct())
-    scratch.drop(near, pairs, more, ends)
+    scratch.drop(near, pairs, more, ends, bits)
     scratch.tidy()
     return out
 
