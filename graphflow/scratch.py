@@ -12,6 +12,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +20,16 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests, local runs)."""
+    """The cluster's checkpoint folder; a temporary one where none is configured and all tasks run on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="graphflow-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -49,6 +53,17 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def gather(self, tables: Iterable[DataFrame]) -> DataFrame:
+        """The rows of all ``tables`` (of one schema, one at least), each written by a job of its own before the next one is made."""
+        self._n += 1
+        path, schema = f"{self.root}/{self._n}", None
+        for df in tables:
+            df.write.mode("append").parquet(path)
+            schema = df.schema
+        back = self.spark.read.schema(schema).parquet(path)
+        back._scratch_path = path
+        return back
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that ``keep`` returned; shuffle files of finished jobs go with them."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
