@@ -22,7 +22,7 @@ from graphflow.scratch import Scratch
 BLOCK = 512
 GROUP_BYTES = 16_000_000
 
-_PACKED = "block long, dim int, n int, ids binary, vectors binary"
+_PACKED = "dim int, n int, ids binary, vectors binary"
 
 
 def pack_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -32,8 +32,7 @@ def pack_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
 
         def block(dim, take):
             ids, vectors = np.array([i for i, _ in take], "<i8"), np.stack([v for _, v in take]).astype("<f8")
-            key = int.from_bytes(np.bitwise_xor.reduce(ids * np.int64(0x5851F42D4C957F2D) + np.int64(dim)).tobytes(), "little", signed=True)
-            return pa.RecordBatch.from_pydict({"block": pa.array([key], pa.int64()), "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
 
         for b in batches:
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True):
@@ -120,33 +119,34 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
-    every = scratch.keep(pack_blocks(rows, block))
-    asked = scratch.keep(pack_blocks(queries, block))
-    size = asked.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
-    groups = max(1, -(-size // group_bytes))
+    # a block has its number from when it is written, whatever ids it holds
+    every, asked = (scratch.keep(pack_blocks(x, block).withColumn("block", F.monotonically_increasing_id())) for x in (rows, queries))
+    blocks, size = asked.agg(F.count("*"), F.sum(F.octet_length("vectors"))).first()
+    groups = max(1, -(-(size or 0) // group_bytes))
     while True:  # hashed groups differ in size: each is checked before it is broadcast
-        grouped = asked.withColumn("g", F.pmod(F.xxhash64("block", "ids"), F.lit(groups)))
+        grouped = asked.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
         most = grouped.groupBy("g").agg(F.sum(F.octet_length("vectors")).alias("b")).agg(F.max("b")).first()[0] or 0
-        if groups == 1 or most <= 2 * group_bytes or groups > 4 * -(-size // block):
+        # blocks are bounded by themselves, so with that many groups the largest is of a few blocks
+        if groups == 1 or most <= 2 * group_bytes or groups > 16 * blocks:
             break
         groups *= 2
 
     def meet(batches):
-        found: dict[tuple, Best] = {}
+        found: dict[int, Best] = {}
         last, codes = None, None
         for b in batches:
             for r in b.to_pylist():
                 if r["qdim"] != r["dim"]:
                     continue
-                key = r["qblock"], r["qids"]
+                key = r["qblock"]
                 if key not in found:
                     found[key] = Best(*_unpack(r["qids"], r["qvectors"], r["qn"]), k)
-                if last != r["ids"]:
-                    last = r["ids"]
+                if last != r["block"]:
+                    last = r["block"]
                     ids, vectors = _unpack(r["ids"], r["vectors"], r["n"])
                     codes = quantise(vectors)
                 found[key].meet(ids, vectors, codes)
-        for (key, _), best in found.items():
+        for key, best in found.items():
             lists = [sorted(x, reverse=True) for x in best.lists]
             yield pa.RecordBatch.from_pydict(
                 {"qblock": pa.array([key], pa.int64()), "qids": [best.ids.astype("<i8").tobytes()], "sizes": [np.array([len(x) for x in lists], "<i4").tobytes()],
@@ -168,7 +168,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
 
         for b in batches:
             for r in b.to_pylist():
-                if now != (r["qblock"], r["qids"]):
+                if not now or now[0] != r["qblock"]:
                     if now:
                         yield told()
                     now, parts = (r["qblock"], r["qids"]), []
@@ -181,9 +181,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
         if now:
             yield told()
 
-    out = None
-    for g in range(groups):
+    def found(g: int) -> DataFrame:
         few = grouped.where(F.col("g") == g).select(*(F.col(c).alias(f"q{c}") for c in ("block", "dim", "n", "ids", "vectors")))
         tiles = every.crossJoin(F.broadcast(few)).mapInArrow(meet, "qblock long, qids binary, sizes binary, ids binary, scores binary")
-        out = tiles if out is None else out.union(tiles)
-    return out.repartition("qblock", "qids").sortWithinPartitions("qblock", "qids").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+        return tiles.repartition("qblock").sortWithinPartitions("qblock").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+    # one group is one plan; of several, each is a job of its own whose lists are written
+    return found(0) if groups == 1 else scratch.gather(found(g) for g in range(groups))

@@ -32,6 +32,19 @@ def test_against_brute_force(make, block, group):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12, atol=0)
 
 
+@pytest.mark.parametrize(("block", "group"), [(7, 2000), (512, 16_000_000)])
+def test_repeated_ids_over_partitions(make, block, group):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(100)]
+    others = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(100)]
+    for twin in (rows, others):  # the same rows again, and other vectors under the same ids
+        df = make(rows, "vec_id long, embedding array<double>").union(make(twin, "vec_id long, embedding array<double>"))
+        assert df.rdd.getNumPartitions() >= 2
+        got = sorted(tuple(r) for r in knn.nearest(df, df.where("vec_id % 20 = 0"), 20, block, group).collect())
+        want = slow(rows + twin, [r for r in rows + twin if r[0] % 20 == 0], 20)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     for dim in (3, 64, 2000):
