@@ -6,10 +6,12 @@ A byte is removed if a string of ``length`` bytes that covers it starts anywhere
 places. Windows in a row that share a trigger's position start in one phrase; a phrase is extended by length - 1 bytes, so that each of its windows lies within it, as phrases overlap in prefix-free parsing, and
 every occurrence of a phrase is one entry of the parse: a document, a place, the trigger and a hash of the extended phrase.
 
-*Dictionary.* Phrases whose trigger occurs once cannot hold a repeated window and go first. Equal phrases are one dictionary entry; if the parse has the entry twice,
-all its windows repeat, however many copies there are. What is left are different entries with a common trigger: copies that part within a phrase. Only their texts are read again; the
-suffixes of these entries are put in the order of their first ``length`` bytes, of which a 64-bit fingerprint decides equality, and neighbours in that order that are equal repeat.
-Entries of a trigger with very many different phrases are spread by the suffix itself instead of the trigger.
+*Dictionary.* Phrases whose trigger occurs once cannot hold a repeated window and go first. Equal phrases are one dictionary entry, and the parse says how often it occurs; if that is twice,
+all its windows repeat, however many copies there are. What is left are different entries with a common trigger: copies that part within a phrase. Only their texts are read again, and a suffix array puts the
+suffixes of these entries into the order of their first ``length`` bytes: prefix doubling from ranks of 4 bytes to ranks of ``length``, all from the bytes themselves. Entries meet the occurrences
+that the parse counts for them, so an interval of equal suffixes has its size in the corpus; an interval of two or more repeats. As each entry holds the whole of its windows, the order of the parse
+behind it would only order the suffixes within an interval, of which nothing is asked, and it is not made.
+A trigger with very many different phrases is spread by its windows, named by 128 bits each.
 
 The union of repeated windows is cut out of each text.
 """
@@ -30,9 +32,11 @@ from graphflow.scratch import Scratch
 LENGTH = 200
 GRAM = 32
 #: Different phrases of one trigger beyond which its windows are spread one by one.
-HOT = 60_000
+HOT = 1000
 NO_ID = -(2**63)
 _PIECE = 1 << 21
+#: Bytes of dictionary entries whose suffixes are ordered at once; entries of a trigger stay together.
+_DICTIONARY = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -137,32 +141,48 @@ def parse(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return docs.select(*_keys(), "text").where(F.octet_length("text") >= length).mapInArrow(rows, "d long, th long, s long, n int, kg long, eh long")
 
 
+def _ranked(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of the pairs (high, low), whose low parts have ``bits`` bits."""
+    n = len(high)
+    key = (high.astype(np.uint64) << np.uint64(bits)) | low.astype(np.uint64)
+    index = max(1, int(n - 1).bit_length())
+    if 2 * bits + index <= 64:  # one sort of whole numbers carries the places along
+        key = np.sort((key << np.uint64(index)) | np.arange(n, dtype=np.uint64))
+        order = (key & np.uint64((1 << index) - 1)).astype(np.int64)
+        key >>= np.uint64(index)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    return out
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the suffix at each place by its first ``length`` bytes, equal ones alike; for places with so many bytes left."""
+    have = min(4, length)
+    x = data.astype(np.int64)
+    high = x[: len(x) - have + 1]
+    for k in range(1, have):
+        high = high << 8 | x[k : len(x) - have + 1 + k]
+    rank = _ranked(high >> 16, high & 0xFFFF, 16)
+    while have < length:
+        step = min(have, length - have)
+        n = len(rank) - step
+        rank = _ranked(rank[:n], rank[step : step + n], max(1, int(rank.max(initial=0)).bit_length()))
+        have += step
+    return rank
+
+
 def _repeated_windows(kept: list, length: int):
     """Of rows (d, th, s, n, c, text) with common triggers: runs (d, th, s, n) of window starts that occur twice, of rows whose phrase occurs once."""
-    prints, row, place = [], [], []
-    at = 0
-    while at < len(kept):
-        to, size = at, 0
-        while to < len(kept) and (to == at or size < _PIECE):
-            size += len(kept[to][5])
-            to += 1
-        data, offsets = flat([r[5] for r in kept[at:to]])
-        hashes = rolling(data, length)
-        counts = np.array([r[3] for r in kept[at:to]])
-        who = np.repeat(np.arange(to - at), counts)
-        inner = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
-        prints.append(hashes[offsets[who] + inner])
-        row.append((who + at).astype(np.int32))
-        place.append(inner.astype(np.int32))
-        at = to
-    prints, row, place = np.concatenate(prints), np.concatenate(row), np.concatenate(place)
-    order = np.argsort(prints, kind="stable")
-    same = prints[order][1:] == prints[order][:-1]
-    twice = np.zeros(len(prints), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    data, offsets = flat([r[5] for r in kept])
+    counts = np.array([r[3] for r in kept])
+    row = np.repeat(np.arange(len(kept)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rank = suffix_ranks(data, length)[offsets[row] + place]
     once = np.array([r[4] == 1 for r in kept])
-    hit = np.flatnonzero(twice & once[row])
+    hit = np.flatnonzero((np.bincount(rank) > 1)[rank] & once[row])
     if not len(hit):
         return []
     new = np.flatnonzero(np.r_[True, (np.diff(row[hit]) != 0) | (np.diff(place[hit]) != 1)])
@@ -235,7 +255,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("kg", "d", "th", "s", "n", "c", "bytes")]
             for kg, *r in zip(*columns, strict=True):
-                if kg != last and size > _PIECE:
+                if kg != last and size > _DICTIONARY:
                     yield batch(_repeated_windows(kept, length))
                     kept, size = [], 0
                 kept.append(r)

@@ -40,6 +40,25 @@ def test_documents(spark, make, odd_rows, hot):
     check(docs, 200, 32, hot)
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 7, 8, 12, 200])
+def test_suffix_ranks_are_byte_order(length):
+    rng = random.Random(length)
+    for data in (bytes(rng.choice(b"ab\xff\x00") for _ in range(900)), b"a" * 500, bytes(rng.randrange(256) for _ in range(600))):
+        got = suffix.suffix_ranks(np.frombuffer(data, np.uint8), length).tolist()
+        cuts = [data[i : i + length] for i in range(len(data) - length + 1)]
+        names = {c: k for k, c in enumerate(sorted(set(cuts)))}
+        assert got == [names[c] for c in cuts]
+
+
+def test_many_places_do_not_fit_one_number():
+    rng = np.random.default_rng(1)
+    high, low = rng.integers(0, 1 << 28, 4000), rng.integers(0, 1 << 28, 4000)
+    low[1000:2000], high[1000:2000] = low[:1000], high[:1000]
+    pairs = list(zip(high.tolist(), low.tolist(), strict=True))
+    names = {p: k for k, p in enumerate(sorted(set(pairs)))}
+    assert suffix._ranked(high, low, 28).tolist() == [names[p] for p in pairs]
+
+
 def test_small_alphabet_and_periods(make):
     rng = random.Random(7)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(60)]
@@ -62,6 +81,16 @@ def test_long_texts_are_read_in_stretches(make, monkeypatch):
     assert seen["windows"] == sum(len(t) - 49 for t in b)
 
 
+def test_very_long_texts(make):
+    rng = random.Random(11)
+    long = [" ".join(f"{rng.randrange(10**9)}" for _ in range(250_000)) for _ in range(2)]  # 2.4 MB each: several stretches
+    long.append(long[0][1_000_000:1_000_400] + long[1][-300:] + "tail")
+    got = {r["doc_id"]: r for r in suffix.dedup_bytes(make(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in range(3)] == [(400, 1), (300, 1), (700, 1)]
+    kept = [long[0][:1_000_000] + long[0][1_000_400:], long[1][:-300], "tail"]
+    assert [got[i]["kept_sha256"] for i in range(3)] == [hashlib.sha256(k.encode()).hexdigest() for k in kept]
+
+
 def test_empty_tables_and_kept_bytes(make):
     assert suffix.dedup_bytes(make([], "doc_id long, text string")).count() == 0
     t = "".join(chr(97 + i * i % 23) for i in range(400))
