@@ -33,15 +33,14 @@ def id_text(column: str | Column) -> Column:
 
 
 def hashed_sample(rows: DataFrame, most: int, *columns: str) -> DataFrame:
-    """The ``most`` rows whose hashed columns are smallest.
+    """The ``most`` distinct rows (in ``columns``) whose hashed columns are smallest, each once; all of them, if there are fewer.
 
-    All but about twice as many are dropped where they are read, by a cut that follows from the number of rows, so that what is ordered doesn't grow with the table.
+    Only hashes are ordered; rows beyond the last one wanted are dropped where they are read, and copies are combined before they are shuffled.
     """
-    n = rows.count()
     value = F.xxhash64(*columns)
-    if n > 4 * most:
-        rows = rows.where(value < F.lit(int(2 * most / n * 2**64) - 2**63).cast("long"))
-    return rows.orderBy(value, *columns).limit(most)
+    last = rows.select(value.alias("v")).distinct().orderBy("v").limit(most).agg(F.max("v")).first()[0]
+    few = rows.where(value <= F.lit(last)).groupBy(value.alias("v")).agg(F.min(F.struct(*columns)).alias("row"))
+    return few.select("row.*")
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -36,6 +37,41 @@ def test_base_spans(spark, make):
         assert set(want) <= set(r["spans"].split(","))
 
 
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+
+
+def slow_added(text, table, margin=14.0):
+    at = secrets.ALPHABET.index
+    fixed = [(m.start(), m.end()) for _, p, g, least in PATTERNS for m in p.finditer(text) if len(m[g]) >= least]
+    out = []
+    for m in TOKEN.finditer(text):
+        ratio = sum(table[at(a) * len(secrets.ALPHABET) + at(b)] for a, b in zip(m[0], m[0][1:], strict=False))
+        if ratio >= margin and not any(b < m.end() and m.start() < e for b, e in fixed):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_added_spans_of_many_and_long_texts(spark, make):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    table = secrets.fit_chains(secrets.labelled_samples(docs, 300, 2000))
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    texts = [key(1_000_000) + "1a", " ".join(key(24) for _ in range(3000)), " ".join(f"token={key(20)} {key(30)} {key(12)}={key(18)}" for _ in range(700)), "0123456789abcdef" * 60_000, "word_9 " * 500]
+    texts += [r["text"] or "" for r in docs.limit(200).collect()]
+    found = secrets.scan(make(list(enumerate(texts)), "doc_id long, text string").repartition(8), table)
+    got = {r["doc_id"]: r["s"].split(",") for r in found.select("doc_id", secrets.digest(F.col("found")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert [x for x in got[i] if x.startswith("markov")] == slow_added(t, table)
+        assert [x for x in got[i] if x and not x.startswith("markov")] == slow(t)
+    assert got[0] == ["markov:0:1000002"] and len(got[1]) > 2900
+
+
+def test_clashing_columns(make):
+    df = make([(1, "password=abcdefgh1", "x", 2)], "doc_id long, text string, __base string, __more int")
+    got = secrets.scan(df, [0.0] * len(secrets.ALPHABET) ** 2)
+    assert got.columns == [*df.columns, "found"] and got.first()["__base"] == "x" and len(got.first()["found"]) == 1
+
+
 def test_query(spark):
     for r in queries.op6_secrets(spark, "/root/testdata/sf0.001").collect():
         base = [s for s in r["spans"].split(",") if s and not s.startswith("markov")]
