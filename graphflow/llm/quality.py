@@ -167,12 +167,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 4
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Trees:
     """An ensemble from at most ``sample_rows`` labelled documents, those whose hashed id is smallest.
 
-    Labels without an id or quality are left out; of several labels of one id the lowest counts. With no labelled
+    Labels without an id or quality are left out; of several labels of one id the lowest counts, and of several documents the one with the smallest hashed text. With no labelled
     document the ensemble keeps every text.
     """
     small_batches(docs.sparkSession)
     few = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    few = hashed_sample(few, sample_rows, "doc_id")
+    few = hashed_sample(few, sample_rows, "doc_id", "quality")
 
     def rows(batches):
         for b in batches:
@@ -180,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Trees:
             yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([list(f) for _, f in got], pa.list_(pa.float64()))], ["quality", "x"])
 
     # at most sample_rows rows of two numbers are broadcast
-    labelled = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("quality", "text")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # of rows that repeat an id one is learned from, so that what is collected has sample_rows rows at most
+    one = F.min(F.struct(F.xxhash64("text").alias("order"), "quality", "text")).alias("one")
+    labelled = labelled.groupBy("doc_id").agg(one).select("one.quality", "one.text")
     got = labelled.mapInArrow(rows, "quality int, x array<double>").collect()
     if not got:
         return fit_trees(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE)

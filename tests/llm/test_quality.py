@@ -69,3 +69,11 @@ def test_no_labels_empty_tables_and_extra_columns(spark, make):
     assert quality.assess(empty, quality.fit(empty, none)).count() == 0
     one_class = quality.fit(df, make([(1, 1)], "doc_id long, quality int"))
     assert quality.keep_good(df, one_class).count() == 2
+
+
+def test_repeated_ids_are_learned_from_once(spark, make, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_trees", lambda x, y, *_: seen.append(len(y)))
+    rows = [(i % 10, f"text {i} " * (20 + i)) for i in range(500)]
+    quality.fit(make(rows, "doc_id long, text string"), make([(i, 1) for i in range(10)] * 3, "doc_id long, quality int"), 8)
+    assert seen == [8]
