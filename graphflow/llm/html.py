@@ -3,15 +3,16 @@
 A page is read once, tolerantly: comments, raw-text elements and markup go, optional end tags are implied, character references are decoded. Text between two
 block boundaries is a block; its tag path is the chain of block elements from the root. For every path of a page the text length, the punctuation and the linked text
 of its blocks are summed up and divided by their number. These ratios are smoothed over neighbouring paths in page order, weighted by a Gaussian of
-the distance between the paths, and fused into one score; paths at or above a threshold, a share of the scores' standard deviation,
-hold content. The elements that contain such paths are the article: all their blocks are returned, short ones as well, except those inside elements that by tag, role, class or id are
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
+the distance between the paths, and fused into one score, which names of classes, ids and roles that speak of menus, notices, adverts or comments lower a lot; paths at or above a threshold, a share of the scores' standard deviation,
+hold content. The elements that contain such paths are the article: all their blocks are returned, short ones as well, except what elements such as nav, footer, aside and form hold, and paths with such
+names that the threshold leaves out. Nothing is left out for its score alone within the article.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -27,8 +28,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not text of the page.
-MUTE = frozenset("script style noscript template svg math iframe object canvas audio video map head title button select datalist textarea label input option".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+MUTE = frozenset("script style template svg iframe canvas audio video head title button select datalist textarea input option".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "title", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dt", "dd", "legend", "summary", "figcaption"}
 #: An element ends an open one of the same set, up to the container named.
@@ -46,21 +47,29 @@ ASIDE_WORDS = frozenset(
 #: Whole names that mark the head of a site, but not that of an article.
 TOP_NAMES = frozenset({"header", "banner", "site-header", "page-header", "main-header", "top-header", "global-header", "site-banner"})
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: What is not closed ends its search at the next bracket.
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _MARKS = re.compile(r"[.,;:!?。，、；：！？…]")
 
 
+#: Factor of a score for names that mark what is not the article, and steps between paths beyond which they don't touch each other.
+DOUBT, FAR = 0.02, 8
+HEADINGS = frozenset({"h1", "h2", "h3"})
+PARTS = frozenset("section ul ol dl table thead tbody tfoot tr li dt dd td th".split())
+
+
 class Page:
-    """Blocks of one page: text, linked characters, path number and whether an element above sets them aside."""
+    """Blocks of one page: text, linked characters, path number and whether an element above sets them aside; for each path its parent, tag, doubt and the outermost article above."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int, bool]] = []
-        self.parent, self.depth, self.label = [-1], [0], [""]
-        self._known: dict[tuple[int, str], int] = {}
-        self._open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, path, aside, mute, within an article
+        self.parent, self.depth, self.tag, self.doubt, self.top = [-1], [0], [""], [False], [-1]
+        self._known: dict[tuple[int, str, bool], int] = {}
+        self._open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, aside, mute
+        self._count: Counter = Counter()
         self._text: list[str] = []
         self._linked, self._links = 0, 0
         self._read(html)
@@ -69,33 +78,45 @@ class Page:
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
-            tag, path, aside, mute, _ = self._open[-1]
+            _, path, aside, mute = self._open[-1]
             if text and not mute:
                 self.blocks.append((text, min(self._linked, len(text)), path, aside))
             self._text = []
         self._linked = 0
 
     def _push(self, tag: str, attributes: str) -> None:
-        _, above, aside, mute, article = self._open[-1]
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes else ""
-        words = set(_WORD.findall(names))
-        first = names.split()[:1]
-        label = f"{tag}.{first[0]}" if first else tag
-        path = self._known.get((above, label))
+        _, above, aside, mute = self._open[-1]
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split() if attributes else []
+        within = self.top[above] >= 0
+        # inside an article only whole names count, and never those of headings
+        words = set(names) if within else {w for n in names for w in _WORD.findall(n)}
+        doubt = bool(words & ASIDE_WORDS) and tag not in ("html", "body", "article", "main") and not (within and tag in HEADINGS)
+        doubt = doubt or not within and bool(TOP_NAMES & set(names)) and tag not in ("html", "body")
+        label = f"{tag}.{names[0]}" if names else tag
+        path = self._known.get((above, label, doubt))
         if path is None:
-            path = self._known[above, label] = len(self.parent)
+            path = self._known[above, label, doubt] = len(self.parent)
             self.parent.append(above)
             self.depth.append(self.depth[above] + 1)
-            self.label.append(label)
-        within = article or tag in ("article", "main")
-        off = tag in ASIDE or bool(words & ASIDE_WORDS) and tag not in ("html", "body", "article", "main") or not within and (tag == "header" or bool(TOP_NAMES & set(names.split())) and tag not in ("html", "body"))
-        self._open.append((tag, path, aside or off, mute or tag in MUTE or bool(attributes) and _HIDDEN.search(attributes) is not None, within))
+            self.tag.append(tag)
+            self.doubt.append(doubt or self.doubt[above])
+            self.top.append(self.top[above] if within else path if tag in ("article", "main") else -1)
+        off = tag in ASIDE or tag == "header" and not within
+        self._open.append((tag, path, aside or off, mute or tag in MUTE or bool(attributes) and _HIDDEN.search(attributes) is not None))
+        self._count[tag] += 1
+
+    def _pop(self, to: int) -> None:
+        for tag, *_ in self._open[to:]:
+            self._count[tag] -= 1
+        del self._open[to:]
 
     def _close(self, wanted, stop) -> None:
         """End the innermost open element among ``wanted`` unless one of ``stop`` is nearer."""
+        if not any(self._count[t] for t in wanted):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] in wanted:
-                del self._open[k:]
+                self._pop(k)
                 return
             if self._open[k][0] in stop:
                 return
@@ -129,7 +150,7 @@ class Page:
                     self._close({tag}, ())
                     continue
                 if self._open[-1][0] == "head" and tag not in MUTE:  # its end tag is optional
-                    self._open.pop()
+                    self._pop(len(self._open) - 1)
                 if tag in CLOSES_P:
                     self._close({"p"}, P_SCOPE)
                 if tag in SIBLINGS:
@@ -144,15 +165,10 @@ class Page:
             if self._links:
                 self._linked += len(text.strip())
 
-    def within(self, path: int, root: int) -> bool:
-        while self.depth[path] > self.depth[root]:
-            path = self.parent[path]
-        return path == root
-
     def distance(self, a: int, b: int) -> int:
-        """Steps between two paths in the tree of paths."""
+        """Steps between two paths in the tree of paths, or FAR if they are more."""
         steps = 0
-        while a != b:
+        while a != b and steps < FAR:
             if self.depth[a] >= self.depth[b]:
                 a = self.parent[a]
             else:
@@ -176,46 +192,53 @@ def path_scores(page: Page, reach: int = 2) -> dict[int, float]:
         near = [(math.exp(-(page.distance(path, order[j]) ** 2) / 2), raw[j]) for j in range(max(0, i - reach), min(len(order), i + reach + 1))]
         total = sum(w for w, _ in near)
         length, marks = (sum(w * r[k] for w, r in near) / total for k in (0, 1))
-        out[path] = length * math.log1p(marks) if raw[i][0] > 0 else 0.0
+        out[path] = length * math.log1p(marks) * (DOUBT if page.doubt[path] else 1) if raw[i][0] > 0 else 0.0
     return out
 
 
+def content_paths(scores: dict[int, float], share: float) -> set[int]:
+    """Paths at or above ``share`` standard deviations, and the best one."""
+    mean = sum(scores.values()) / len(scores)
+    spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
+    best = max(scores.values())
+    return {p for p, s in scores.items() if s >= min(share * spread, best) and s > 0 or s == best}
+
+
 def main_text(html: str | None, share: float = 0.8) -> str:
     """The article's blocks in page order, one a line; empty if there are none."""
     page = Page(html or "")
     scores = path_scores(page)
     if not scores:
         return ""
-    mean = sum(scores.values()) / len(scores)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
-    best = max(scores.values())
-    chosen = [p for p, s in scores.items() if s >= min(share * spread, best) and s > 0 or s == best]
+    chosen = content_paths(scores, share)
+    base = [0] * len(page.parent)  # the element around lists, tables and sections
+    for p in range(1, len(base)):
+        base[p] = base[page.parent[p]] if page.tag[p] in PARTS else p
     roots = set()
     for p in chosen:
-        root, up = page.parent[p], p
-        while up > 0:  # the outermost article above, if any
-            if page.label[up].split(".")[0] in ("article", "main"):
-                root = up
-            up = page.parent[up]
-        if page.label[p].split(".")[0] in ("li", "dt", "dd", "td", "th") and root == page.parent[p]:
-            while root > 0 and page.label[root].split(".")[0] in ("ul", "ol", "dl", "table", "tbody", "tr"):
-                root = page.parent[root]
+        root = page.top[p]
+        if root < 0:
+            root = base[page.parent[p]]
         roots.add(root)
-    keep: dict[int, bool] = {}
-    out = []
-    for text, _, path, aside in page.blocks:
-        if not aside:
-            if path not in keep:
-                keep[path] = path in chosen or any(page.within(path, r) for r in roots)
-            if keep[path]:
-                out.append(text)
-    return "\n".join(out)
+    inside = [False] * len(page.parent)
+    for p in range(len(inside)):  # parents come first
+        inside[p] = p in roots or p > 0 and inside[page.parent[p]]
+    keep = [not aside and (path in chosen or inside[path] and not page.doubt[path]) for _, _, path, aside in page.blocks]
+    if True in keep:  # a title may stand above the element that holds the text
+        first = keep.index(True)
+        for i in range(first - 1, max(-1, first - 4), -1):
+            _, _, path, aside = page.blocks[i]
+            if aside or page.doubt[path]:
+                break
+            keep[i] = page.tag[path] in HEADINGS
+    return "\n".join(text for (text, *_), k in zip(page.blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text) and n_chars (its code points) of every row of ``pages`` (page_id, url, html).
 
-    A null or empty html, or one without content, gives an empty text. Repeated rows are extracted each; other columns are ignored.
+    A null or empty html, or one without content, gives an empty text. Repeated rows are extracted each, and so do repeated ids; paths with equal scores are chosen alike. Tags that are not
+closed, nesting of any depth and very long pages cost time in proportion to the page. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

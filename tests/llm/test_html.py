@@ -1,5 +1,6 @@
-from html import unescape
 import re
+import time
+from html import unescape
 
 from graphflow.llm import html
 
@@ -43,6 +44,56 @@ def test_heads_of_sites_and_of_articles():
     assert html.main_text(page).split("\n") == ["Title", LONG.strip()]
 
 
+def layouts():
+    """Pages without an article element, and what they say."""
+    for k in range(12):
+        side = f'<div class="box{k}"><p>{LONG * (k % 3 + 1)}</p></div>' if k % 4 == 0 else f"<div>Tip {k}</div>"
+        links = "".join(f"<li><a href=/{i}>Link number {i} of the page</a>" for i in range(k + 3))
+        paragraphs = [f"Paragraph {i}. {LONG * 3}" for i in range(3 + k % 4)]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        advert = f'<div class="ad">{"Buy this now, at once. " * (k + 1)}</div>'
+        comments = f'<div class="comments"><div>{LONG * 2} says a reader</div></div>'
+        title = f"<h1>Title {k}</h1>"
+        want = "\n".join([f"Title {k}", *(" ".join(p.split()) for p in paragraphs)])
+        yield f"<body><ul>{links}</ul>{advert}<div class=story>{title}{body}</div>{comments if k % 2 else ''}{'' if k % 4 == 0 else side}</body>", want
+
+
+def test_scores_decide(monkeypatch):
+    pages = list(layouts())
+    got = [html.main_text(p) for p, _ in pages]
+    assert got == [w for _, w in pages]
+    scored = html.path_scores
+    monkeypatch.setattr(html, "path_scores", lambda page: dict.fromkeys(scored(page), 1.0))
+    assert all(html.main_text(p) != w for p, w in pages)
+
+
+def test_equal_scores_change_the_pages(spark, monkeypatch):
+    rows = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect()]
+    want = [html.main_text(h) for h in rows]
+    scored = html.path_scores
+    monkeypatch.setattr(html, "path_scores", lambda page: dict.fromkeys(scored(page), 1.0))
+    assert sum(html.main_text(h) != w for h, w in zip(rows, want, strict=True)) > 50
+
+
+def test_nothing_else_is_dropped_inside_an_article():
+    parts = ["<p>Let <math><mi>x</mi></math> be.</p>", '<section class="related-work"><p>Work by others.</p></section>', '<div class="notice-board-history"><p>Boards.</p></div>', "<noscript><p>Plain.</p></noscript>", "<p><label>Named</label> <object>thing</object></p>", '<h2 class="search">Search</h2>']
+    want = ["Let x be.", "Work by others.", "Boards.", "Plain.", "Named thing", "Search"]
+    page = f"<body><article><p>{LONG}</p>{''.join(parts)}<div class=notice>Cookies!</div></article></body>"
+    assert html.main_text(page).split("\n") == [LONG.strip(), *want]
+
+
+def test_title_above_sections():
+    page = f"<div class=content><h1>Title of it</h1><section><p>{LONG * 2}</p><p>{LONG * 2}</p></section><section class=b><p>Short end.</p></section></div>"
+    assert html.main_text(page).split("\n") == ["Title of it", *[(LONG * 2).strip()] * 2, "Short end."]
+
+
+def test_time_grows_with_the_page():
+    for make_page in (lambda n: "<a " * n, lambda n: "<!x" * n, lambda n: "<a '" * n, lambda n: '<a b="' * n, lambda n: "<div><p>x y z. " * n, lambda n: "<div>" * n + "</span></section>" * n, lambda n: "<li><ul>" * n, lambda n: "<!--" * n, lambda n: "<td>a<table>" * n):
+        began = time.perf_counter()
+        html.main_text(make_page(20_000))
+        assert time.perf_counter() - began < 5
+
+
 def test_broken_markup():
     assert html.main_text(None) == "" == html.main_text("") == html.main_text("<p>") == html.main_text("<nav>only</nav>")
     assert html.main_text("no markup at all") == "no markup at all"
