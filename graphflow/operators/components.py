@@ -6,32 +6,32 @@ Every round is two grouped minima and two joins over the edges; nothing is colle
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphflow.scratch import Scratch
 
+#: Edges up to which one task holds all neighbours of a hub.
+HUB = 1_000_000
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
     near = _both(edges)
-    # minima are written before they are joined: the join's sides are then plain exchanges, and a hub's side is split
-    low = scratch.keep(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    out = scratch.keep(near.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-    scratch.drop(low)
-    return out
+    low = split(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return near.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _small_star(edges: DataFrame, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = scratch.keep(down.groupBy("u").agg(F.min("v").alias("m")))
+    low = split(down.groupBy("u").agg(F.min("v").alias("m")))
     joined = down.join(low, "u")
-    out = scratch.keep(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-    scratch.drop(low)
-    return out
+    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -43,12 +43,24 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(edges.sparkSession)
     now = scratch.keep(edges.select("a", "b").where("a <> b").distinct())
+    many = now.count() > HUB
     state = None
     while True:
-        large = _large_star(now, scratch)
-        new = _small_star(large, scratch)
+        made: list[DataFrame] = []
+
+        def split(df: DataFrame, made: list[DataFrame] = made) -> DataFrame:
+            """Minima of many edges are written before they are joined: the join's sides are then plain exchanges, and a hub's side is split."""
+            if many:
+                made.append(scratch.keep(df))
+            return made[-1] if many else df
+
+        large = _large_star(now, split)
+        if many:
+            made.append(scratch.keep(large))
+            large = made[-1]
+        new = scratch.keep(_small_star(large, split))
         seen = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        scratch.drop(now, large)
+        scratch.drop(now, *made)
         now = new
         if seen == state:
             break
