@@ -135,10 +135,10 @@ def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, similar: float
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = scratch.keep(both.where(apart * (1 + similar) <= (1 - similar) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
     scratch.tidy()
-    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     some = scratch.keep(sets.join(nodes.hint("merge"), "node", "left_semi"))
     full = scratch.keep(some.groupBy("node").agg(F.min("fp").alias("fp"), F.first("h").alias("h")))
-    scratch.drop(nodes, some)
+    scratch.drop(some)
     scratch.tidy()
     side = lambda x: full.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("h").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
@@ -166,7 +166,7 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     bits = scratch.keep(distinct.join(hits.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "n", "bits"))
     scratch.drop(distinct, shared)
     scratch.tidy()
-    pivots = scratch.keep(hits.where("node = p").select("key", F.col("n").alias("pn"), F.col("at").alias("pat")))
+    pivots = hits.where("node = p").select("key", F.col("n").alias("pn"), F.col("at").alias("pat"))
 
     def may(x, y):
         """Sizes, and what can follow the first shared shingle, leave room for enough shared ones."""
@@ -181,15 +181,15 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     named = hits.join(group.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = named.join(group.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     named = scratch.keep(named.select("key", "node", "n", "at", "c", "pc"))
-    scratch.drop(hits, pivots, group)
+    scratch.drop(hits, group)
     scratch.tidy()
     # a pair in two groups has a side outside the group of its shingle's pivot
-    rest = scratch.keep(named.where("c <> pc"))
+    rest = named.where("c <> pc")
     a, b = rest.alias("a"), named.alias("b")
     side = {x: {c: F.col(f"{x}.{c}") for c in ("node", "n", "at", "c")} for x in "ab"}
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (side["a"]["c"] != side["b"]["c"]) & may(side["a"], side["b"]))
     pairs = scratch.keep(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    scratch.drop(named, rest, star)
+    scratch.drop(named, star)
     scratch.tidy()
     more = _verified(pairs, bits, sets, similar, scratch)
     ends = scratch.keep(sets.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z"))
