@@ -217,7 +217,9 @@ def squared_differences(spark, sf_dir):
     return matrix.squared_differences(m, matrix.multiply(m, m)).select(F.round("ssd", 6).alias("ssd"))
 
 
-@_query("SELECT true AS same, false AS other")
+@_query(f"""WITH {FLOW}, once AS (SELECT col, "row", max(val) AS val FROM flow GROUP BY 1, 2), more AS (SELECT col, "row", val + 1 AS val FROM flow)
+  SELECT NOT EXISTS ((SELECT col, "row", val FROM flow EXCEPT ALL SELECT * FROM once) UNION ALL (SELECT * FROM once EXCEPT ALL SELECT col, "row", val FROM flow)) AS same,
+    NOT EXISTS ((SELECT col, "row", val FROM flow EXCEPT ALL SELECT * FROM more) UNION ALL (SELECT * FROM more EXCEPT ALL SELECT col, "row", val FROM flow)) AS other""")
 def equality(spark, sf_dir):
     flow = tables.nation_flow(spark, sf_dir)
     return spark.range(1).select(F.lit(matrix.equal(flow, matrix.dedup(flow))).alias("same"), F.lit(matrix.equal(flow, flow.withColumn("val", F.col("val") + 1))).alias("other"))

@@ -6,6 +6,7 @@ from graphflow.schema import ABC, MatrixMeta
 from graphflow.sources import abc
 from model import stochastic, triangles
 
+# The small matrices and their expected sizes.
 F1 = [(0, 1, 0.5), (0, 2, 0.1), (0, 4, 0.4), (1, 1, 0.6), (1, 2, 0.2), (1, 3, 0.6), (1, 6, 0.1), (1, 7, 0.7), (2, 5, 0.4), (2, 8, 0.2)]
 F3 = [(c, r, round(0.1 * (i + 1), 1)) for i, (c, r, _) in enumerate(F1)]
 F4 = [(c, r, round(0.1 * (i + 1), 1)) for i, (c, r) in enumerate([(0, 1), (0, 2), (0, 4), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0), (2, 1), (2, 2)])]
