@@ -31,8 +31,8 @@ from graphflow.scratch import Scratch
 
 LENGTH = 200
 GRAM = 32
-#: Different phrases of one trigger beyond which its windows are spread one by one.
-HOT = 1000
+#: Different phrases of one trigger, some 7 MB of text for a task, beyond which its windows are spread one by one.
+HOT = 20_000
 NO_ID = -(2**63)
 _PIECE = 1 << 21
 #: Bytes of dictionary entries whose suffixes are ordered at once; entries of a trigger stay together.
