@@ -310,7 +310,24 @@ def event_flow_k6(spark, sf_dir):
     return _entries(algorithms.mcl(m, Params(force_iter=6), n=0)[0])
 
 
-@_query(None)
+def _until(n: int, limit: str = "0.0001") -> str:
+    """Up to n pure steps from m0, and the limit mn: a step whose predecessor's chaos is under the limit passes it on."""
+    go = ["go0 AS (SELECT true AS go)"]
+    for i in range(1, n + 1):
+        before, live = f"m{i - 1}", f"(SELECT * FROM m{i - 1} WHERE (SELECT go FROM go{i - 1}))"
+        go.append(f"""l{i} AS MATERIALIZED {live}, e{i} AS MATERIALIZED (SELECT a.col, m."row", sum(m.val * a.val) AS val FROM l{i} m JOIN l{i} a ON m.col = a."row" GROUP BY 1, 2),
+  k{i} AS (SELECT col, "row", val, count(*) OVER (PARTITION BY col) AS n0 FROM e{i}),
+  s{i} AS (SELECT * FROM k{i} WHERE n0 = 1 OR round(val, 12) >= 0.0001 QUALIFY row_number() OVER (PARTITION BY col ORDER BY round(val, 12) DESC, "row") <= 50),
+  m{i} AS MATERIALIZED (SELECT col, "row", pow(val, 2) / sum(pow(val, 2)) OVER (PARTITION BY col) AS val FROM s{i} UNION ALL SELECT * FROM {before} WHERE NOT (SELECT go FROM go{i - 1})),
+  go{i} AS MATERIALIZED (SELECT coalesce(max(x), 0) >= {limit} AS go FROM (SELECT CASE WHEN count(*) > 1 THEN (max(val) - sum(val * val)) * count(*) ELSE 0 END AS x FROM m{i} GROUP BY col))""")
+    return ",\n  ".join(go)
+
+
+#: Steps that the SQL of mcl_converged unrolls; 13 to 16 are needed on the two smallest scales.
+MOST_STEPS = 24
+
+
+@_query(f"WITH RECURSIVE {SIM}, {_prepared('sim')}, {_until(MOST_STEPS)}, {_clusters(f'm{MOST_STEPS}')} SELECT node, cluster FROM clus")
 def mcl_converged(spark, sf_dir):
     """Clusters of the part raster's limit."""
     m = matrix.build(_raster_graph(spark, sf_dir), "insert")
@@ -324,7 +341,24 @@ def rmcl_converged(spark, sf_dir):
     return cl.clusters(algorithms.rmcl(m, Params(max_iter=60))[0])
 
 
-@_query(None)
+def _counted(i: int) -> str:
+    """The counters of step i of ``_steps`` as rows."""
+    columns = f"(SELECT count(*) AS k, max(val) AS most, CASE WHEN count(*) > 1 THEN (max(val) - sum(val * val)) * count(*) ELSE 0 END AS chaos FROM m{i} GROUP BY col)"
+    kept = f"(SELECT col FROM k{i} WHERE n0 = 1 OR round(val, 12) >= 0.0001)"
+    values = {
+        "kmax": f"(SELECT max(k) FROM {columns})",
+        "in_nnz": f"(SELECT count(*) FROM m{i - 1})",
+        "products": f'(SELECT count(*) FROM m{i - 1} m JOIN m{i - 1} a ON m.col = a."row")',
+        "out_nnz": f"(SELECT count(*) FROM m{i})",
+        "cutoff": f"(SELECT count(*) FROM e{i}) - (SELECT count(*) FROM {kept})",
+        "prune": f"(SELECT count(*) FROM {kept}) - (SELECT count(*) FROM s{i})",
+        "attractors": f"(SELECT count(*) FILTER (most > 0.5) FROM {columns})",
+        "homogen": f"(SELECT count(*) FILTER (chaos < 1e-4) FROM {columns}) + (SELECT count(DISTINCT col) FROM e{i} WHERE col NOT IN {kept})",
+    }
+    return " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS iteration, 'step' AS job, 'matrix' AS \"group\", '{k}' AS counter, CAST({v} AS BIGINT) AS value" for k, v in values.items())
+
+
+@_query(f"WITH {FLOW}, {_prepared('flow')}, {_steps(['m0', 'm1', 'm2', 'm3'])} {' UNION ALL '.join(_counted(i) for i in range(1, 5))}")
 def counters(spark, sf_dir):
     """Counters of four iterations on the nations."""
     return abc.counters(spark, algorithms.mcl(_stochastic_flow(spark, sf_dir), Params(force_iter=4), n=0)[1])
@@ -352,6 +386,14 @@ def average_size(spark, sf_dir):
     return cl.average_size(_segments(spark, sf_dir)).withColumn("avg_size", F.round("avg_size", 6))
 
 
+@_query(f"""WITH {SEGMENTS}, twice AS (SELECT node, cluster FROM clus UNION ALL SELECT node, cluster FROM clus WHERE node = 1)
+  SELECT cluster, count(*) AS size, (SELECT count(DISTINCT node) FROM twice) - count(DISTINCT node) AS rest, count(*) = count(DISTINCT node) AS consistent FROM twice GROUP BY cluster""")
+def cluster_consistency(spark, sf_dir):
+    """The cluster that lists node 1 a second time is not consistent."""
+    c = _segments(spark, sf_dir)
+    return cl.consistency(c.unionByName(c.where("node = 1")))
+
+
 @_query(f"WITH {SEGMENTS} SELECT p_partkey AS node, cluster FROM part LEFT JOIN clus ON node = p_partkey")
 def cluster_of(spark, sf_dir):
     return cl.cluster_of(_segments(spark, sf_dir), tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
@@ -526,10 +568,17 @@ def mean_colour(spark, sf_dir):
     return render.cluster_colours(pixels, _segments(spark, sf_dir), w, h).select("cluster", "size", *(F.round(c, 6).alias(c) for c in ("m0", "m1", "m2", "spread")))
 
 
-@_query(f"""WITH {_MEANS} SELECT x, y, round(CASE WHEN neighbour IS NULL THEN 0 ELSE least(10 * sqrt({' + '.join(_sq(f'a.m{k}', f'b.m{k}') for k in range(3))}), 255) END, 6) AS contrast
+_BYTES = ("least(greatest(l / 128, 0), 1)", "least(greatest((a + 128) / 256, 0), 1)", "least(greatest((bb + 128) / 256, 0), 1)")
+_LAB_MEANS = f"""{_AROUND}, {_lab_sql()}, me AS (SELECT cluster, {', '.join(f'avg(floor({v} * 255 + 0.5)) AS m{k}' for k, v in enumerate(_BYTES))} FROM lab JOIN clus USING (node) GROUP BY cluster)"""
+
+
+@_query(f"""WITH {_LAB_MEANS} SELECT x, y, round(CASE WHEN neighbour IS NULL THEN 0 ELSE least(10 * sqrt({' + '.join(_sq(f'a.m{k}', f'b.m{k}') for k in range(3))}), 255) END, 6) AS contrast
   FROM bo JOIN me a ON a.cluster = bo.cluster LEFT JOIN me b ON b.cluster = bo.neighbour""")
 def contrast(spark, sf_dir):
-    pixels, w, h = _raster(spark, sf_dir)
+    """Contrast in Lab; of the parts' colours, as prices are no bytes."""
+    w, h = tables.raster_size(spark, sf_dir)
+    at = [F.floor(F.col("node") / h).cast("int").alias("x"), (F.col("node") % h).cast("int").alias("y")]
+    pixels = _coloured(spark, sf_dir).where(F.col("node") < w * h).select(*at, *BANDS)
     return render.contrast(pixels, _segments(spark, sf_dir), w, h).select("x", "y", F.round("contrast", 6).alias("contrast"))
 
 

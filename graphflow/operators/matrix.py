@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 KEYS = ("col", "row")
@@ -53,6 +53,10 @@ def replicate_diagonal(m: DataFrame, n: int, scale: int) -> DataFrame:
     return copies.select((F.col("col") + F.col("i") * n).alias("col"), (F.col("row") + F.col("i") * n).alias("row"), "val")
 
 
+def _counted(pairs: DataFrame, count: Observation | None) -> DataFrame:
+    return pairs.observe(count, F.count("*").alias("products")) if count else pairs
+
+
 def expansion_size(m: DataFrame, a: DataFrame) -> int:
     """Products that ``multiply`` sums up: over every inner index, entries of its column times entries of its row."""
     left = m.groupBy(F.col("col").alias("k")).agg(F.count("*").alias("x"))
@@ -60,20 +64,21 @@ def expansion_size(m: DataFrame, a: DataFrame) -> int:
     return left.join(right, "k").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
 
 
-def multiply(m: DataFrame, a: DataFrame, strategy: str = "coo") -> DataFrame:
-    """The product m x a.
+def multiply(m: DataFrame, a: DataFrame, strategy: str = "coo", count: Observation | None = None) -> DataFrame:
+    """The product m x a; ``count`` gets ``products``, how many values are summed up.
 
     'coo' is a join on the inner index and a sum that is combined before the shuffle. 'blocked' sends the entries of an inner
     index to one place as arrays, and expands them there: fewer rows pass the join where columns are long.
     """
     if strategy == "coo":
         left, right = m.select(F.col("col").alias("k"), "row", F.col("val").alias("x")), a.select(F.col("row").alias("k"), "col", F.col("val").alias("y"))
-        return left.join(right, "k").groupBy("col", "row").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
+        pairs = _counted(left.join(right, "k"), count)
+        return pairs.groupBy("col", "row").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
     if strategy != "blocked":
         raise ValueError(strategy)
     left = m.groupBy(F.col("col").alias("k")).agg(F.collect_list(F.struct("row", F.col("val").alias("x"))).alias("l"))
     right = a.groupBy(F.col("row").alias("k")).agg(F.collect_list(F.struct("col", F.col("val").alias("y"))).alias("r"))
-    pairs = left.join(right, "k").select("l", F.explode("r").alias("r")).select("r", F.explode("l").alias("l"))
+    pairs = _counted(left.join(right, "k").select("l", F.explode("r").alias("r")).select("r", F.explode("l").alias("l")), count)
     return pairs.groupBy(F.col("r.col").alias("col"), F.col("l.row").alias("row")).agg(F.sum(F.col("l.x") * F.col("r.y")).alias("val"))
 
 

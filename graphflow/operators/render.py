@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphflow.functions import colour
+
 #: East, west, then greater and smaller y: the order in which a differing neighbour is looked for.
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
 
@@ -46,8 +48,12 @@ def cluster_colours(pixels: DataFrame, c: DataFrame, w: int, h: int) -> DataFram
     return mean.join(spread, "cluster")
 
 
-def contrast(pixels: DataFrame, c: DataFrame, w: int, h: int) -> DataFrame:
-    """x, y, contrast: ten times the distance between the mean colours of a boundary pixel's cluster and its neighbour, clamped to 255; 0 inside."""
+def contrast(pixels: DataFrame, c: DataFrame, w: int, h: int, lab: bool = True) -> DataFrame:
+    """x, y, contrast: ten times the distance between the mean colours of a boundary pixel's cluster and its neighbour, clamped to 255; 0 inside.
+
+    Red, green and blue become eight-bit Lab first; without ``lab`` the bands are taken as they are.
+    """
+    pixels = colour.rgb_to_lab(pixels) if lab else pixels
     mean = cluster_colours(pixels, c, w, h)
     own = mean.select("cluster", *(f"m{k}" for k in range(3)))
     other = mean.select(F.col("cluster").alias("neighbour"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(3)))

@@ -82,6 +82,7 @@ class StepStats:
     homogen: int = 0
     seconds: float = 0.0
     init_nnz: int = 0
+    products: int = 0
 
     @property
     def expa(self) -> float:
@@ -96,7 +97,7 @@ class StepStats:
     def expc(self) -> float:
         return self.out_nnz / (self.init_nnz + 1)
 
-    COUNTERS = ("kmax", "in_nnz", "out_nnz", "cutoff", "prune", "attractors", "homogen")
+    COUNTERS = ("kmax", "in_nnz", "products", "out_nnz", "cutoff", "prune", "attractors", "homogen")
 
     def counters(self) -> list[tuple[int, str, str, str, int]]:
         """Rows of the counters file."""

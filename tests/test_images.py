@@ -96,7 +96,7 @@ def test_boundary_contrast_outline(spark):
     for v, m in mean.items():
         assert [colours[v][f"m{k}"] for k in range(3)] == pytest.approx(list(m))
         assert colours[v]["spread"] == pytest.approx(sum(np.linalg.norm(a[y, x] - m) for (x, y), u in label.items() if u == v))
-    for r in render.contrast(pixels_of(spark, a), c, w, h).collect():
+    for r in render.contrast(pixels_of(spark, a), c, w, h, lab=False).collect():
         n = want[r["x"], r["y"]]
         assert r["contrast"] == pytest.approx(0 if n is None else min(255, 10 * np.linalg.norm(mean[label[r["x"], r["y"]]] - mean[n])))
     for r in render.outline(pixels_of(spark, a), c, w, h, line=0.5).collect():
