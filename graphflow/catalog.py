@@ -310,20 +310,24 @@ def event_flow_k6(spark, sf_dir):
     return _entries(algorithms.mcl(m, Params(force_iter=6), n=0)[0])
 
 
-def _until(n: int, limit: str = "0.0001") -> str:
-    """Up to n pure steps from m0, and the limit mn: a step whose predecessor's chaos is under the limit passes it on."""
+def _until(n: int, regular: bool = False, limit: str = "0.0001") -> str:
+    """Up to n steps from m0, pure or with m0 as second factor, and the limit mn: a step after the last one passes its predecessor on."""
     go = ["go0 AS (SELECT true AS go)"]
     for i in range(1, n + 1):
         before, live = f"m{i - 1}", f"(SELECT * FROM m{i - 1} WHERE (SELECT go FROM go{i - 1}))"
-        go.append(f"""l{i} AS MATERIALIZED {live}, e{i} AS MATERIALIZED (SELECT a.col, m."row", sum(m.val * a.val) AS val FROM l{i} m JOIN l{i} a ON m.col = a."row" GROUP BY 1, 2),
+        more = f"(SELECT go FROM go{i - 1})"
+        if regular and i > 10:
+            more += f""" AND (SELECT sqrt(sum((coalesce(a.val, 0) - coalesce(b.val, 0)) * (coalesce(a.val, 0) - coalesce(b.val, 0)))) FROM m{i - 1} a FULL JOIN m{i - 2} b ON a.col = b.col AND a."row" = b."row")
+    / (SELECT max(greatest(col, "row")) + 1 FROM m0) >= {limit}"""
+        go.append(f"""l{i} AS MATERIALIZED {live}, e{i} AS MATERIALIZED (SELECT a.col, m."row", sum(m.val * a.val) AS val FROM l{i} m JOIN {'m0' if regular else f'l{i}'} a ON m.col = a."row" GROUP BY 1, 2),
   k{i} AS (SELECT col, "row", val, count(*) OVER (PARTITION BY col) AS n0 FROM e{i}),
   s{i} AS (SELECT * FROM k{i} WHERE n0 = 1 OR round(val, 12) >= 0.0001 QUALIFY row_number() OVER (PARTITION BY col ORDER BY round(val, 12) DESC, "row") <= 50),
   m{i} AS MATERIALIZED (SELECT col, "row", pow(val, 2) / sum(pow(val, 2)) OVER (PARTITION BY col) AS val FROM s{i} UNION ALL SELECT * FROM {before} WHERE NOT (SELECT go FROM go{i - 1})),
-  go{i} AS MATERIALIZED (SELECT coalesce(max(x), 0) >= {limit} AS go FROM (SELECT CASE WHEN count(*) > 1 THEN (max(val) - sum(val * val)) * count(*) ELSE 0 END AS x FROM m{i} GROUP BY col))""")
+  go{i} AS MATERIALIZED (SELECT coalesce(max(x), 0) >= {limit} AND {more} AS go FROM (SELECT CASE WHEN count(*) > 1 THEN (max(val) - sum(val * val)) * count(*) ELSE 0 END AS x FROM m{i} GROUP BY col))""")
     return ",\n  ".join(go)
 
 
-#: Steps that the SQL of mcl_converged unrolls; 13 to 16 are needed on the two smallest scales.
+#: Steps that the SQL of the converged flows unrolls; 8 to 16 are needed on the two smallest scales.
 MOST_STEPS = 24
 
 
@@ -334,9 +338,9 @@ def mcl_converged(spark, sf_dir):
     return cl.clusters(algorithms.mcl(m, Params(), n=0)[0])
 
 
-@_query(None)
+@_query(f"WITH RECURSIVE {SUPPLIERS}, {_prepared('sup')}, {_until(MOST_STEPS, regular=True)}, {_clusters(f'm{MOST_STEPS}')} SELECT node, cluster FROM clus")
 def rmcl_converged(spark, sf_dir):
-    """Clusters of the supplier graph's regularised flow; change falls below its limit first."""
+    """Clusters of the supplier graph's regularised flow."""
     m = matrix.build(tables.supplier_topk(spark, sf_dir), "insert")
     return cl.clusters(algorithms.rmcl(m, Params(max_iter=60))[0])
 

@@ -35,8 +35,8 @@ def test_query_equals_sql(spark, con, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, result.fetchall())
 
 
-def test_queries_without_sql(spark):
-    assert catalog.rmcl_converged(spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_import_needs_no_session():
