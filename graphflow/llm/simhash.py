@@ -13,17 +13,19 @@ fingerprints share one of those words if and only if at most two bits differ, so
 
 On request (``similar``) texts also link when the sets of their five-word shingles have at least that Jaccard similarity, whatever their fingerprints. Shingles are ordered
 from rare to common; two such sets share one of the first n - ceil(similar * n) + 1 of either (prefix filter), so no pair is missed by any order; parity bits, which cannot differ in more places than the sets, spare most candidates, and the others are compared in full.
+Only these first shingles and the bits are written; whole sets are made again from the texts, for candidates alone.
 Under each shared shingle all sets are first compared with one of them, and then only those left outside its group with the others, so a large group of near copies costs no pairs.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphflow.llm.common import small_batches, texts_of
@@ -37,10 +39,10 @@ LENGTH, CHECK = 23, 11
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Keys with more fingerprints than this are linked by stars instead of pairs.
 FEW = 48
-#: Words of a shingle whose sets are compared, documents that tell common shingles, and how many of those must hold one.
-WIDE, SAMPLE, COMMON = 5, 5000, 3
-#: Bits that tell most dissimilar sets apart before they are compared in full.
-PARITY = 2048
+#: Words of a shingle whose sets are compared, documents that tell common shingles (all up to the first number, beyond it that many or this share), how many of those must hold one, and the most that the driver gets.
+WIDE, SAMPLE, SHARE, COMMON, MOST = 5, 5000, 10, 3, 500_000
+#: Bits of the sieve that passes the texts whose sets are compared in full, and some others.
+SIEVE = 1 << 22
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256).astype(np.int64)
@@ -79,66 +81,127 @@ def shingle_set(words: list[bytes], shingle: int = WIDE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, 7) for g in grams], np.uint64).view(np.int64))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a bounded sample of documents hold, ordered, and in how many; they only set the order in which shingles are tried."""
+def node_of(h: np.ndarray) -> int:
+    """The name of a set of shingles."""
+    return xxhash.xxh64_intdigest(h.tobytes(), 7)
+
+
+def common_shingles(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample hold, ordered, and in how many; they only set the order in which shingles are tried.
+
+    The sample follows the table, so the documents that an unknown common shingle brings together do not grow with it. The driver gets the most common ones, MOST at most.
+    """
     n = docs.count()
+    size = max(SAMPLE, n // SHARE)
     value = F.xxhash64("doc_id", "text")
-    few = docs.where(value < F.lit(int(SAMPLE / n * 2**64) - 2**63).cast("long")) if n > SAMPLE else docs
+    few = docs.where(value < F.lit(int(size / n * 2**64) - 2**63).cast("long")) if n > size else docs
 
     def rows(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(shingle_set(t.lower().split()) for t in texts_of(b, "text"))]))], ["key"])
 
-    got = few.select("text").mapInArrow(rows, "key long").groupBy("key").count().where(F.col("count") >= COMMON).toArrow()
+    several = scratch.keep(few.select("text").mapInArrow(rows, "key long").groupBy("key").count().where(F.col("count") >= COMMON))
+    scratch.tidy()
+    least, kept = COMMON, 0
+    for level, keys in sorted(several.groupBy(F.least("count", F.lit(1000))).agg(F.count("*")).collect(), reverse=True):
+        kept += keys
+        if kept > MOST:
+            least = min(level + 1, 1000)
+            break
+    got = several.where(F.col("count") >= least).limit(MOST).toArrow()
+    scratch.drop(several)
     keys, counts = (got.column(c).to_numpy() for c in ("key", "count"))
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
-def marks(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, node (name of the set of five-word shingles), h (that set, rare shingles first) and bits (PARITY bits: how many shingles fall on each, modulo two) of every row."""
+def parity(h: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each of some bits, modulo two, as longs: as many bits as shingles at least, rounded up to a power of two."""
+    size = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount(h & (size - 1), minlength=size).astype(np.uint8) & 1).view(np.int64)
+
+
+def marks(docs: DataFrame, similar: float, scratch: Scratch, shingle: int = 3) -> DataFrame:
+    """Of every row doc_id, fp, node (name of the set of five-word shingles), text_hash, n (shingles in the set), keys (the first of them that two similar sets share, rare ones first) and bits (parity)."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    common, counts = common_shingles(docs)
+    common, counts = common_shingles(docs, scratch)
 
     def rows(batches):
         for b in batches:
-            fps, nodes, bits, sets = [], [], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+            fps, nodes, sizes, bits, keys = [], [], [], [], []
             for t in texts_of(b, "text"):
                 words = t.lower().split()
                 fps.append(fingerprint(words, shingle))
                 h = shingle_set(words)
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
-                bits.append(np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1))
+                nodes.append(node_of(h))
+                sizes.append(len(h))
+                bits.append(parity(h))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
-                sets.append(h)
-            ends = np.cumsum([len(h) for h in sets]).astype(np.int32)
+                keys.append(h[: len(h) - math.ceil(similar * len(h) - 1e-9) + 1])
             long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), _lists(np.concatenate(bits).view(np.int64), PARITY // 64)], ["doc_id", "fp", "node", "h", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *long, b.column("text_hash"), pa.array(sizes, pa.int32()), _lists(keys), _lists(bits)], ["doc_id", "fp", "node", "text_hash", "n", "keys", "bits"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, f"doc_id {kind}, fp long, node long, text_hash long, n int, keys array<long>, bits array<long>")
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(v) for v in values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long, node long, h array<long>, bits array<long>")
 
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and h (the set) of at least the nodes of ``wanted`` (node, text_hash), made from the texts again, where a text may come once from each partition.
 
-def _lists(values: np.ndarray, size: int) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size, dtype=np.int32)), pa.array(values))
+    A sieve of fixed size lets all wanted texts pass and few others, so neither texts nor sets are shuffled to find them.
+    """
+    small_batches(docs.sparkSession)
+    place = F.col("text_hash").bitwiseAND(F.lit(SIEVE - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    got = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE // 64, np.int64)
+    sieve[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+
+    def rows(batches):
+        seen = set()
+        for b in batches:
+            hashes = b.column("text_hash").to_numpy()
+            places = hashes & (SIEVE - 1)
+            fresh = []
+            for i in np.nonzero(sieve[places >> 6] >> (places & 63) & 1)[0]:
+                if hashes[i] not in seen:
+                    seen.add(hashes[i])
+                    fresh.append(i)
+            sets = [shingle_set(t.lower().split()) for t in texts_of(b.take(pa.array(fresh, pa.int64())), "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(h) for h in sets], np.uint64).view(np.int64)), _lists(sets)], ["node", "h"])
 
+    return docs.where("text is not null").select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, "node long, h array<long>")
 
-def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+
+def _folded(bits: str, other: str) -> Column:
+    """Parity bits over as many bits as the other side has, if that has fewer."""
+    to = F.size(other)
+    fold = F.transform(F.slice(bits, F.lit(1), to), lambda _, i: F.aggregate(F.sequence(i, F.size(bits) - 1, to), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(bits, k))))
+    return F.when(F.size(bits) > to, fold).otherwise(F.col(bits))
+
+
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs a, b whose sets are similar, with fa and fb: a fingerprint of each.
 
     Parity bits differ in no more places than the sets do, so a pair with too many such places is not similar: most others are never compared in full.
     """
-    side = lambda x: bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    apart = F.aggregate(F.zip_with(_folded("ba", "bb"), _folded("bb", "ba"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = scratch.keep(both.where(apart * (1 + similar) <= (1 - similar) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
     scratch.tidy()
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    some = scratch.keep(sets.join(nodes.hint("merge"), "node", "left_semi"))
-    full = scratch.keep(some.groupBy("node").agg(F.min("fp").alias("fp"), F.first("h").alias("h")))
-    scratch.drop(some)
+    wanted = scratch.keep(known.join(nodes.hint("merge"), "node", "left_semi").select("node", "fp", "text_hash"))
+    some = scratch.keep(whole_sets(docs, wanted).join(wanted.select("node", "fp").hint("merge"), "node"))
+    full = scratch.keep(some.groupBy("node").agg(F.first("fp").alias("fp"), F.first("h").alias("h")))
+    scratch.drop(some, wanted)
     scratch.tidy()
     side = lambda x: full.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("h").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
@@ -148,22 +211,16 @@ def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, similar: float
     return out
 
 
-def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
-    """Edges a, b between fingerprints of ``marked`` that join all texts whose shingle sets are equal or have a Jaccard similarity of ``similar``.
+def similar_links(marked: DataFrame, distinct: DataFrame, docs: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """Edges a, b between fingerprints of ``marked`` (fp, node of every text) that join all texts of ``docs`` whose shingle sets are equal or have a Jaccard similarity of ``similar``.
 
-    Equal sets are one row from the start. Only the keys travel first; those that two sets share are few, and what is known of a set meets them alone.
+    Equal sets are one row of ``distinct``, which is deleted. Only the keys travel first; those that two sets share are few, and what is known of a set meets them alone.
     """
-    sets = marked.where(F.size("h") > 0).select("fp", "node", "h")
-    n = F.size("h")
-    prefix = F.slice("h", F.lit(1), (n - F.ceil(similar * n - 1e-9) + 1).cast("int"))
-    known = marked.where(n > 0).select("node", n.alias("n"), prefix.alias("keys"), "bits")
-    distinct = scratch.keep(known.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "bits"))))
-    scratch.tidy()
     keyed = distinct.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = scratch.keep(keyed.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("z")).where("p <> z").drop("z"))
     scratch.tidy()
     hits = scratch.keep(keyed.join(shared.hint("merge"), "key"))
-    bits = scratch.keep(distinct.join(hits.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "n", "bits"))
+    known = scratch.keep(distinct.join(hits.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "fp", "text_hash", "n", "bits"))
     scratch.drop(distinct, shared)
     scratch.tidy()
     pivots = hits.where("node = p").select("key", F.col("n").alias("pn"), F.col("at").alias("pat"))
@@ -176,7 +233,7 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     one, pivot = {c: F.col(c) for c in ("n", "at")}, {"n": F.col("pn"), "at": F.col("pat")}
     star = scratch.keep(hits.where("node <> p").join(pivots, "key").where(may(one, pivot)).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
     scratch.tidy()
-    near = _verified(star, bits, sets, similar, scratch)
+    near = _verified(star, known, docs, similar, scratch)
     group = scratch.keep(components(near.select("a", "b"), scratch))
     named = hits.join(group.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = named.join(group.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
@@ -191,11 +248,11 @@ def similar_links(marked: DataFrame, similar: float, scratch: Scratch) -> DataFr
     pairs = scratch.keep(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     scratch.drop(named, star)
     scratch.tidy()
-    more = _verified(pairs, bits, sets, similar, scratch)
-    ends = scratch.keep(sets.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z"))
-    equal = sets.select("node", "fp").join(ends, "node").where("a <> fp").select("a", F.col("fp").alias("b"))
+    more = _verified(pairs, known, docs, similar, scratch)
+    ends = scratch.keep(marked.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z"))
+    equal = marked.select("node", "fp").join(ends, "node").where("a <> fp").select("a", F.col("fp").alias("b"))
     out = scratch.keep(near.union(more).select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(equal).distinct())
-    scratch.drop(near, pairs, more, ends, bits)
+    scratch.drop(near, pairs, more, ends, known)
     scratch.tidy()
     return out
 
@@ -285,11 +342,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, few: int = FEW, similar:
     a null component_id. An empty table gives an empty result. With ``similar``, texts of that Jaccard similarity over five-word shingles link too.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.keep(fingerprints(docs, shingle) if similar is None else marks(docs, shingle))
+    if similar is None:
+        marked = scratch.keep(fingerprints(docs, shingle))
+    else:
+        whole = scratch.keep(marks(docs, similar, scratch, shingle))
+        one = [F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n", "keys", "bits"))]
+        distinct = scratch.keep(whole.where("n > 0").groupBy("node").agg(*one))
+        marked = scratch.keep(whole.select("doc_id", "fp", F.when(F.col("n") > 0, F.col("node")).alias("node")))
+        scratch.drop(whole)
+        scratch.tidy()
     kinds = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(kinds, scratch, few)
     if similar is not None:
-        edges = edges.union(similar_links(marked, similar, scratch))
+        edges = edges.union(similar_links(marked.where("node is not null"), distinct, docs, similar, scratch))
     group = components(edges, scratch)
     rooted = kinds.join(group.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.keep(rooted)

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -154,3 +155,59 @@ def test_stage_drops_near_copies_beyond_two_bits(make):
     assert len(want) < simhash.keep_first(df).count()  # two bits alone leave some
     got = corpus_pipeline.near_dedup(df.sparkSession, df, "")
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_stage_writes_less_than_its_texts(make, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from graphflow.scratch import Scratch
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{rng.getrandbits(24):06x}" for _ in range(3000))) for i in range(120)]
+    rows += [(1000 + i, t.replace(t[:6], "changed", 1)) for i, t in rows[:20]]
+    live, most, keep, drop = {}, [], Scratch.keep, Scratch.drop
+
+    def watched(self, df):
+        back = keep(self, df)
+        path = back._scratch_path.removeprefix("file://")
+        live[path] = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path))
+        most.append(sum(live.values()))
+        return back
+
+    def dropped(self, *tables):
+        for t in tables:
+            live.pop(getattr(t, "_scratch_path", "").removeprefix("file://"), None)
+        drop(self, *tables)
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    monkeypatch.setattr(Scratch, "drop", dropped)
+    df = make(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(df.sparkSession, df, "").collect()) == list(range(120))
+    assert max(most) < 0.8 * sum(len(t) for _, t in rows)  # the whole sets take 1.1
+
+
+def test_parity_tells_long_sets_apart():
+    rng = np.random.default_rng(2)
+    for n in (1, 64, 65, 3000, 9000):
+        a, b = (np.unique(rng.integers(-(2**63), 2**63, n)) for _ in range(2))
+        pa, pb = simhash.parity(a), simhash.parity(b)
+        assert len(pa) * 64 >= n and len(pa) == len(pb)
+        apart = int(np.bitwise_count((pa ^ pb).view(np.uint64)).sum())
+        assert apart <= 2 * n and (n < 64 or apart * 1.8 > 0.2 * 2 * n)
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_similar_sets_of_any_sample_and_size(make, monkeypatch, most):
+    """Sets with parity bits of different sizes, copies, and an order of shingles from few documents."""
+    monkeypatch.setattr(simhash, "SAMPLE", 20)
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    line = " ".join(rng.choices(vocabulary, k=12))
+    rows = []
+    for size in (64, 128, 512):
+        for _ in range(4):
+            base = rng.choices(vocabulary, k=size) + line.split()
+            for k in (0, 0, 3, size // 9, size // 7, size // 6, size // 5):
+                rows.append((len(rows), " ".join(base[: len(base) - k])))
+    got = simhash.keep_first(make(rows, "doc_id long, text string"), similar=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == slow_similar(rows, 0.8)
