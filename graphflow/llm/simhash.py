@@ -41,6 +41,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 FEW = 48
 #: Words of a shingle whose sets are compared, documents that tell common shingles (all up to the first number, beyond it that many or this share), how many of those must hold one, and the most that the driver gets.
 WIDE, SAMPLE, SHARE, COMMON, MOST = 5, 5000, 10, 3, 500_000
+#: Parity bits of a set, at least.
+LEAST_BITS = 1024
 #: Bits of the sieve that passes the texts whose sets are compared in full, and some others.
 SIEVE = 1 << 22
 
@@ -116,8 +118,8 @@ def common_shingles(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.n
 
 
 def parity(h: np.ndarray) -> np.ndarray:
-    """How many shingles fall on each of some bits, modulo two, as longs: as many bits as shingles at least, rounded up to a power of two."""
-    size = max(64, 1 << (len(h) - 1).bit_length())
+    """How many shingles fall on each of some bits, modulo two, as longs: a power of two, LEAST_BITS and the number of shingles at least."""
+    size = max(LEAST_BITS, 1 << (len(h) - 1).bit_length())
     return np.packbits(np.bincount(h & (size - 1), minlength=size).astype(np.uint8) & 1).view(np.int64)
 
 

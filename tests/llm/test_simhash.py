@@ -204,7 +204,7 @@ def test_similar_sets_of_any_sample_and_size(make, monkeypatch, most):
     vocabulary = [f"w{i}" for i in range(900)]
     line = " ".join(rng.choices(vocabulary, k=12))
     rows = []
-    for size in (64, 128, 512):
+    for size in (64, 512, 1020):
         for _ in range(4):
             base = rng.choices(vocabulary, k=size) + line.split()
             for k in (0, 0, 3, size // 9, size // 7, size // 6, size // 5):
