@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter
 
 from graphflow.llm import lines
+from graphflow.scratch import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -67,3 +69,27 @@ def test_empty_table_and_clashing_columns(make):
     assert lines.dedup_lines(df).count() == 0
     df = make([(1, "a", "x")], "doc_id long, text string, n_runs string")
     assert lines.dedup_lines(df).columns == ["doc_id", "text", "n_lines", "n_deleted", "n_runs"]
+
+
+def test_suffix_and_lcp_arrays_match_brute_force(make, spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    rng = random.Random(5)
+    stretches = [(d, 0, 100 * s, [rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randint(1, 30))]) for d in range(6) for s in range(2)] + [(9, d, 0, [1, 2] * 12) for d in range(3)]
+    for depth in (1, 2, 7, 12):
+        rows = [(d, th, at + k, at + k, x, depth if len(xs) - k >= depth else None, len(xs) - k) for d, th, at, xs in stretches for k, x in enumerate(xs)]
+        got = lines.suffix_array(make(rows, "d long, th long, i int, r int, rank long, m int, e int"), depth, Scratch(spark)).orderBy("s").collect()
+        size = 1
+        while size < depth:
+            size *= 2
+        want = sorted((tuple(xs[k : k + size]), (d, th, at + k)) for d, th, at, xs in stretches for k in range(len(xs) - depth + 1))
+        assert [(r["d"], r["th"], r["i"]) for r in got] == [place for _, place in want]
+        assert [r["s"] for r in got] == list(range(len(want)))
+        shared = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, _), (b, _) in zip(want, want[1:])]
+        assert [r["lcp"] for r in got] == [0, *shared]
+
+
+def test_intervals_go_on_over_blocks(make, odd_rows, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 2)
+    rows = [(i, t) for i, t, _ in odd_rows] + [(100 + i, f"a b\nc d\ne{i % 2}") for i in range(9)]
+    for least in (4, 50):
+        check(make(rows, "doc_id long, text string"), rows, least)
