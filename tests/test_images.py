@@ -180,3 +180,29 @@ def test_mat_frames(spark, tmp_path, compress):
     (tmp_path / "g.mat").write_bytes(mat_file({"Z": arrays["Z"]}))
     with pytest.raises(Exception, match="lacks"):
         images.read_tof(spark, str(tmp_path / "g.mat")).collect()
+
+
+def test_knn_graph_meets_tiles_and_keeps_ties(spark, monkeypatch):
+    """Few pairs are ranked, whatever the table; ties after rounding, copies and far vectors as pair by pair."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "ASKED", 16)
+    monkeypatch.setattr(similarity, "TILE", 32)
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 1_000)
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(60, 8)) * 0.3
+    all_ = np.concatenate([near, near[:20], near[:20] + 1e-7, rng.normal(size=(20, 8)) * 40]).astype(np.float32)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(len(all_)), all_, strict=True)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    by = {i: np.array(v, np.float32) for i, v in rows}
+    gap = lambda a, b: ((a - b).astype(float) ** 2).cumsum()[-1]
+    want = set()
+    for i, u in by.items():
+        best = sorted(((-round(float(np.exp(-gap(u, v) / 0.5)), 6), j) for j, v in by.items()))
+        for n, (w, j) in enumerate(best):
+            if n < 6 or i == j:
+                want |= {(i, j, -w), (j, i, -w)}
+    assert {tuple(r) for r in similarity.knn_graph(vectors, 6, 0.5).collect()} == want
+    assert similarity.knn_candidates(vectors, 6, 0.5, "vec_id", "embedding").count() <= 4 * 10 * len(rows)  # four jobs, each with the six heaviest and ties
+    odd = vectors.limit(3).union(spark.createDataFrame([(500, None)], vectors.schema))
+    assert (500, 500, None) in {tuple(r) for r in similarity.knn_graph(odd, 6, 0.5).collect()}
