@@ -68,7 +68,8 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """node, cluster of lines of tab-separated nodes; a cluster's number is its smallest node."""
     nodes = F.transform(F.filter(F.split("value", "\t"), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("long"))
     lines = spark.read.text(path).select(nodes.alias("nodes")).where(F.size("nodes") > 0)
-    return lines.select(F.explode("nodes").alias("node"), F.array_min("nodes").alias("cluster"))
+    named = lines.select("nodes", F.array_min("nodes").alias("cluster"))  # once a line: beside explode it would be found for each node
+    return named.select(F.explode("nodes").alias("node"), "cluster")
 
 
 def write_clusters(c: DataFrame, path: str) -> None:
